@@ -44,6 +44,11 @@ class Workspace:
     def drop(self, name: str) -> None:
         self._remove(f"{self.root}/{name}")
 
+    def sweep(self) -> None:
+        """Lets Spark's cleaner drop the shuffle files of jobs that are over: it goes by the
+        driver's garbage, which may not be collected for long."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def _remove(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
-from . import op01_url_filter, op02_packing, op03_secrets
+from . import (
+    op01_url_filter,
+    op02_packing,
+    op03_secrets,
+    op04_html,
+    op05_substrings,
+    op06_toxicity,
+    op07_minhash,
+    op08_quality_model,
+    op09_quality_rules,
+    op10_decontaminate,
+)
 
 QUERIES = {
     "op1_url_filter": op01_url_filter.query,
     "op2_packing": op02_packing.query,
     "op3_secrets": op03_secrets.query,
+    "op4_html": op04_html.query,
+    "op5_substrings": op05_substrings.query,
+    "op6_toxicity": op06_toxicity.query,
+    "op7_minhash": op07_minhash.query,
+    "op8_quality_model": op08_quality_model.query,
+    "op9_quality_rules": op09_quality_rules.query,
+    "op10_decontaminate": op10_decontaminate.query,
 }
 ORACLES = {"op1_url_filter": op01_url_filter.oracle()}

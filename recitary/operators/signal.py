@@ -250,11 +250,11 @@ def mask_batch(rows: DataFrame, batch: str = "batch", frames: str = "frames", se
     for k in range(times):
         w = draw(4 * k, time_most + 1)
         s = draw(4 * k + 1, F.greatest(F.col("__t") - w, F.lit(1)))
-        x = F.transform(x, lambda f, i, s=s, w=w: F.when((i >= s) & (i < s + w), F.transform(f, lambda v: F.lit(0.0).cast("double"))).otherwise(f))
+        x = F.transform(x, lambda f, i: F.when((i >= s) & (i < s + w), F.transform(f, lambda v: F.lit(0.0).cast("double"))).otherwise(f))
     for k in range(dims):
         w = draw(1000 + 4 * k, dim_most + 1)
         s = draw(1001 + 4 * k, F.greatest(F.col("__d") - w, F.lit(1)))
-        x = F.transform(x, lambda f, s=s, w=w: F.transform(f, lambda v, d: F.when((d >= s) & (d < s + w), F.lit(0.0)).otherwise(v)))
+        x = F.transform(x, lambda f: F.transform(f, lambda v, d: F.when((d >= s) & (d < s + w), F.lit(0.0)).otherwise(v)))
     return out.withColumn(frames, x).drop("__t", "__d")
 
 

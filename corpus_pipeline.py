@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out benchmark passages; documents that consist of them for the most part go."""
-    return _as_documents(op10_decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return _as_documents(op10_decontaminate.decontaminate(docs, op10_decontaminate.automata(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,12 +200,20 @@ def _merged():
     return run
 
 
-def _cut():
-    """Arrow UDF: a text without its hit runs."""
+def _settled(broadcast):
+    """Arrow UDF: a text, cut until the automaton hits nothing in it."""
 
     @F.pandas_udf("string")
-    def run(text: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([cut_runs(t, [(r["a"], r["b"]) for r in rs]) if rs is not None and len(rs) else t for t, rs in zip(text, runs, strict=True)], dtype="object")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        auto = broadcast.value
+
+        def settle(t):
+            while isinstance(t, str) and (runs := auto.stream(folded(t))[1]):
+                t = cut_runs(t, runs)
+            return t if isinstance(t, str) else None
+
+        for texts in batches:
+            yield pd.Series([settle(t) for t in texts], dtype="object")
 
     return run
 
@@ -223,43 +231,64 @@ def cut_runs(text: str | None, runs: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
 
 
-def match(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs with a struct column `hit`: n_words, longest, runs and items."""
-    if "hit" in docs.columns:
-        raise ValueError("the input already has a column hit")
-    spark = docs.sparkSession
+def automata(items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> list:
+    """The benchmark as broadcast automata, each of at most about shard_bytes of item text."""
+    spark = items.sparkSession
     items = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(1, -(-2 * total // shard_bytes)) if total > shard_bytes else 1
-    ws = Workspace(spark, "decontaminate")
-    out = docs
+    out = []
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k)
-        auto = spark.sparkContext.broadcast(Automaton([(r["i"], r["t"]) for r in part.distinct().toLocalIterator()], window))
+        out.append(spark.sparkContext.broadcast(Automaton([(r["i"], r["t"]) for r in part.distinct().toLocalIterator()], window)))
+    return out
+
+
+def match(docs: DataFrame, autos: list, text: str = "text") -> DataFrame:
+    """docs with a struct column `hit`: n_words, longest, runs and items."""
+    if "hit" in docs.columns:
+        raise ValueError("the input already has a column hit")
+    ws, out = Workspace(docs.sparkSession, "decontaminate"), docs
+    for k, auto in enumerate(autos):
         found = _scan(auto)(F.col(text))
         out = out.withColumn("hit" if k == 0 else "__more", found)
         if k:
             out = out.withColumn("hit", _merged()(F.col("hit"), F.col("__more"))).drop("__more")
-        if k < shards - 1:
+        if k < len(autos) - 1:
             out = ws.write(out, f"shard{k}")
             if k:
                 ws.drop(f"shard{k - 1}")
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: float = MAX_COVERAGE, **options) -> DataFrame:
+def hit_words():
+    return F.aggregate("hit.runs", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"])
+
+
+def decontaminate(docs: DataFrame, autos: list, text: str = "text", max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs with every hit run cut from the text; documents hit beyond max_coverage of
-    their words are left out. Cutting may bring words together that form a window
-    again, so the cut text has a line feed there and is matched and cut once more."""
-    out = match(docs, items, text, **options)
-    out = out.where(F.coalesce(F.aggregate("hit.runs", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"]) <= max_coverage * F.col("hit.n_words"), F.lit(True)))
-    out = out.withColumn(text, _cut()(F.col(text), F.col("hit.runs"))).drop("hit")
+    their words are left out. What a cut brings together may form a window again, so
+    texts are cut until nothing is hit: in one pass for one automaton, else in rounds."""
+    out = match(docs, autos, text).where(hit_words() <= max_coverage * F.col("hit.n_words"))
+    dirty = F.size("hit.runs") > 0
+    out = out.withColumn(text, F.when(dirty, _settled(autos[0])(F.when(dirty, F.col(text)))).otherwise(F.col(text))).drop("hit")
+    ws, k = Workspace(docs.sparkSession, "cut"), 0
+    while len(autos) > 1:
+        before = out.withColumn("__before", F.col(text))
+        for auto in autos:
+            before = before.withColumn(text, _settled(auto)(F.col(text)))
+        step = ws.write(before, f"round{k}")
+        if k:
+            ws.drop(f"round{k - 1}")
+        out, k = step.drop("__before"), k + 1
+        if step.where(~F.col(text).eqNullSafe(F.col("__before"))).isEmpty():
+            break
     return out
 
 
 def query(spark, sf_dir):
-    out = match(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    n_hit = F.aggregate("hit.runs", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"])
+    out = match(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), automata(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    n_hit = hit_words()
     return out.select(
         "doc_id",
         F.col("hit.n_words").alias("n_words"),

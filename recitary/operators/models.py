@@ -157,7 +157,7 @@ def ctc_loss(log_probs: np.ndarray, targets: list[int], blank: int = 0) -> float
         ext += [t, blank]
     n = len(ext)
     ids = np.array(ext)
-    skip = np.r_[False, False, (ids[2:] != blank) & (ids[2:] != ids[:-2])]
+    skip = np.r_[False, False, (ids[2:] != blank) & (ids[2:] != ids[:-2])][:n]
     a = np.full(n, -np.inf)
     a[:2] = log_probs[0, ids[:2]]
     for row in log_probs[1:]:

@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
+#: Edges up to which one task joins them all (some 100 MB); beyond, rounds over the cluster do.
+LOCAL_EDGES = 400_000
+
+
+def _union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over one partition's edges: every node with its smallest connected node."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for df in batches:
+        for a, b in zip(df["a"].tolist(), df["b"].tolist(), strict=True):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pd.DataFrame({"node": nodes, "component": [find(x) for x in nodes]})
+
 
-def connected_components(edges: DataFrame, ws: Workspace, name: str = "stars") -> DataFrame:
+def connected_components(edges: DataFrame, ws: Workspace, name: str = "stars", local_edges: int = LOCAL_EDGES) -> DataFrame:
     """edges (a, b): one row for each linked node, (node, component), the component being
     its smallest node; nodes without an edge are absent. Each round is written to the
     shared folder; only a count and a sum reach the driver. The neighbours of a hub are
     never gathered: minima are pre-aggregated, and the join's hot side is split by AQE."""
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     e = ws.write(e, f"{name}0")
+    if e.count() <= local_edges:
+        kind = dict(e.dtypes)["a"]
+        return ws.write(e.coalesce(1).mapInPandas(_union, f"node {kind}, component {kind}"), f"{name}-local")
     k, before = 0, None
     while True:
         # large star: every larger neighbour moves to the smallest of the neighbourhood

@@ -4,13 +4,17 @@ values propose candidates; links are confirmed on full shingle sets.
 
 Documents with equal shingle sets form a class and one link settles them; only classes
 are compared. Every band value that several classes share is a bucket:
- 1. each class is tried against one hub of its buckets, a link for each row;
+ 1. each class is tried against one hub of its buckets, a link for each class;
  2. components of the confirmed links are found;
- 3. buckets that still hold several components compare all members of different
-    components, first by signature and size, then on full sets; components again.
-So every pair that shares a band is linked, or lies in one component, or was compared. A
-pair at the threshold shares one of 32 bands but for 5 in 10^8 cases. A hot bucket
-is dealt to pairs of chunks of bounded size, so no task holds it whole.
+ 3. buckets that still hold several components are chained to clusters. In a cluster the
+    members outside its largest component are compared with all members of other
+    components, by size and signature first and then on full sets. A task joins what it
+    links at once and emits links only, never the pairs it tries.
+So every pair that shares a band lies in one component or was compared. A pair at the
+threshold shares one of 32 bands but for 5 in 10^8 cases, and passes the signature
+test but for 3 in 10^6. A large cluster is dealt to pairs of chunks of bounded size; chunks
+of its largest component are never paired with each other, so copies of one text cost
+no more than their number.
 
 Edge cases. Null or wordless texts have empty sets: linked with nothing, kept. A null
 id can't be a component's id; a class of null ids only has a null component and its
@@ -34,7 +38,7 @@ SHINGLE, THRESHOLD = 4, 80
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Signature agreement (of 128) below which a pair can't be at the threshold: 0.8 less
-#: 4.5 standard deviations, and the members of one chunk of a hot bucket.
+#: 4.5 standard deviations, and the members of one chunk of a cluster.
 AGREE, CHUNK = 82, 1024
 
 _rng = np.random.default_rng(20)
@@ -137,30 +141,61 @@ def _rekeyed(size: int):
     return run
 
 
-def _compare(threshold: int):
-    """Of one bucket, or a pair of chunks of it: pairs of different components that sizes and signatures allow."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        sig = np.stack([np.frombuffer(x, dtype=np.uint8) for x in df["sketch"]])
-        n, comp, node = df["n"].to_numpy(), df["comp"].to_numpy(), df["node"].to_numpy()
-        chunk, pair = df["chunk"].to_numpy(), df["pair"].iloc[0]
-        low, high = int(pair) >> 20, int(pair) & 0xFFFFF
-        left = np.flatnonzero(chunk == low)
-        right = np.flatnonzero(chunk == high)
-        # members of the largest component are compared from the other side only
-        values, counts = np.unique(comp[left], return_counts=True)
-        a_out, b_out = [], []
-        if low == high:
-            left = left[comp[left] != values[counts.argmax()]]
-        for i in left.tolist():
-            near = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))]
-            if len(near):
-                near = near[(sig[near] == sig[i]).sum(1) >= AGREE]
-                a_out += [node[i]] * len(near)
-                b_out += node[near].tolist()
-        a, b = np.array(a_out, dtype=object), np.array(b_out, dtype=object)
-        swap = a > b
-        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b)}).drop_duplicates()
+def link_members(sets: list[np.ndarray], sig: np.ndarray, comp: list, left: list[int], right: list[int], threshold: int) -> list[tuple[int, int]]:
+    """Links that join the components of left and right members. Likely pairs come first, and
+    a pair that is joined already is not looked at again."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    n = np.array([len(s) for s in sets])
+    at = np.array(right, dtype=np.int64)
+    tries: list[tuple[int, int, int]] = []
+    for i in left:
+        near = at[(at != i) & (100 * np.minimum(n[at], n[i]) >= threshold * np.maximum(n[at], n[i]))]
+        agree = (sig[near] == sig[i]).sum(1)
+        tries += [(-g, i, j) for g, j in zip(agree[agree >= AGREE].tolist(), near[agree >= AGREE].tolist(), strict=True)]
+    out = []
+    for _, i, j in sorted(tries):
+        x, y = find(comp[i]), find(comp[j])
+        if x != y and linked(sets[i], sets[j], threshold):
+            root[x] = y
+            out.append((i, j))
+    return out
+
+
+def _join_clusters(threshold: int, size: int):
+    """Rows sorted by (cluster, pair): whole groups are compared; links come out. side is 0 for
+    members of the pair's first chunk, 1 for those of its second, which is the first one again for a pair of equals."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHash()
+
+        def links(df: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+            sets = [shingles(t, known, size) for t in df["text"]]
+            sig = np.stack([np.frombuffer(x, dtype=np.uint8) for x in df["sketch"]])
+            side, small = df["side"].to_numpy(), df["small"].to_numpy()
+            equal = not side.any()
+            left = np.flatnonzero((side == 0) & small).tolist()
+            right = np.flatnonzero(side == (0 if equal else 1)).tolist()
+            node = df["node"].tolist()
+            return [(min(node[i], node[j]), max(node[i], node[j])) for i, j in link_members(sets, sig, df["comp"].tolist(), left, right, threshold)]
+
+        held: list[pd.DataFrame] = []
+        for df in batches:
+            held.append(df)
+            every = pd.concat(held, ignore_index=True) if len(held) > 1 else df
+            key = every["cluster"].map(bytes) if len(every) else every["cluster"]
+            new = np.flatnonzero(np.r_[True, (key.to_numpy()[1:] != key.to_numpy()[:-1]) | (every["pair"].to_numpy()[1:] != every["pair"].to_numpy()[:-1])])
+            out = [x for a, b in zip(new[:-1], new[1:], strict=True) for x in links(every.iloc[a:b])]
+            held = [every.iloc[new[-1] :]]
+            yield pd.DataFrame(out, columns=["a", "b"])
+        if held:
+            yield pd.DataFrame(links(held[0]), columns=["a", "b"])
 
     return run
 
@@ -183,34 +218,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     proposed = bucket.join(hubs, "value").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared")).groupBy("node").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
     edges = proposed.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = ws.write(pairs, f"{name}-pairs")
-        nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        needed = ws.write(classes.select("key", "first").join(nodes, "key", "left_semi"), f"{name}-needed")
+    def texts_of(nodes: DataFrame, name: str) -> DataFrame:
+        """node, text of each class among nodes; the ids asked for are broadcast while they are few."""
+        needed = ws.write(classes.join(nodes.distinct(), classes["key"] == nodes["node"], "left_semi").select("key", "first"), f"{name}-needed")
         fetched = docs.join(small(needed), F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("key").alias("node"), "text")
-        texts = fetched.mapInPandas(_rekeyed(size), "node binary, text string").dropDuplicates(["node"])
-        texts = ws.write(texts, f"{name}-texts")
-        x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        x = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        out = ws.write(x.where(_confirm(threshold, size)("ta", "tb")).select("a", "b"), f"{name}-links")
-        ws.drop(f"{name}-texts")
-        return out
-
-    links = confirmed(edges, "hubs")
+        return ws.write(fetched.mapInPandas(_rekeyed(size), "node binary, text string").dropDuplicates(["node"]), f"{name}-texts")
+
+    edges = ws.write(edges, "hub-edges")
+    texts = texts_of(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))), "hub")
+    x = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    x = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    links = ws.write(x.where(_confirm(threshold, size)("ta", "tb")).select("a", "b"), "hub-links")
+    ws.drop("hub-texts")
     comp = connected_components(links, ws, "first")
-    # what is left: buckets of several components
-    placed = bucket.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("value", "node", "n", "comp", "members")
-    mixed = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("value")
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("members") / CHUNK)).cast("int")
-    rest = placed.join(mixed, "value", "left_semi").withColumn("chunks", chunks)
-    rest = rest.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    rest = rest.join(classes.select(F.col("key").alias("node"), "sketch"), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    rest = rest.withColumn("other", other).withColumn("pair", (F.least("chunk", "other").cast("long") * (1 << 20)) + F.greatest("chunk", "other"))
-    found = rest.select("value", "pair", "chunk", "node", "n", "comp", "sketch").groupBy("value", "pair").applyInPandas(_compare(threshold), "a binary, b binary")
-    more = found.distinct().join(edges, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(more, "rest"))
-    comp = connected_components(links, ws, "second")
+    # what is left: buckets of several components, chained to clusters
+    placed = bucket.join(comp, "node", "left").select("value", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("node").alias("chain")).where("x <> y").select("value", "chain")
+    rest = ws.write(placed.join(mixed, "value").select("node", "comp", "chain").distinct(), "rest")
+    ws.drop("buckets")
+    cluster = connected_components(rest.select(F.col("node").alias("a"), F.col("chain").alias("b")), ws, "chains")
+    member = rest.select("node", "comp").distinct().join(cluster.withColumnRenamed("component", "cluster"), "node")
+    sizes = member.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    member = member.join(largest, "cluster").withColumn("small", F.col("comp") != F.col("largest"))
+    # chunks 0.. of the small components' members, then those of the largest one
+    lows = F.ceil((F.col("total") - F.col("most")) / CHUNK).cast("int")
+    highs = F.ceil(F.col("most") / CHUNK).cast("int")
+    one = F.col("total") <= CHUNK
+    h = F.xxhash64("node")
+    chunk = F.when(one, 0).when(F.col("small"), F.pmod(h, lows)).otherwise(lows + F.pmod(h, highs)).cast("int")
+    member = member.withColumns({"lows": F.when(one, 1).otherwise(lows), "highs": F.when(one, 0).otherwise(highs), "chunk": chunk})
+    # a low chunk meets every chunk, a high one the low ones
+    other = F.explode(F.when(F.col("chunk") < F.col("lows"), F.sequence(F.lit(0), F.col("lows") + F.col("highs") - 1)).otherwise(F.sequence(F.lit(0), F.col("lows") - 1)))
+    dealt = member.withColumn("other", other)
+    pair = F.least("chunk", "other").cast("long") * (1 << 31) + F.greatest("chunk", "other")
+    dealt = dealt.select("cluster", pair.alias("pair"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "comp", "small")
+    texts = texts_of(rest.select("node"), "rest").join(classes.select(F.col("key").alias("node"), "sketch"), "node")
+    dealt = dealt.join(texts, "node").repartition("cluster", "pair").sortWithinPartitions("cluster", "pair")
+    found = ws.write(dealt.mapInPandas(_join_clusters(threshold, size), "a binary, b binary"), "rest-links")
+    ws.drop("rest-texts")
+    comp = connected_components(links.unionByName(found), ws, "second")
     # component ids: the smallest document id of all classes in one
     ids = classes.select(F.col("key").alias("node"), "first").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("first").alias("component_id"))

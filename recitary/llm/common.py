@@ -35,10 +35,9 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
 
-    def write(self, df: DataFrame, name: str, *partition: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*partition) if partition else writer).parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

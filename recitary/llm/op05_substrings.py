@@ -262,16 +262,17 @@ def _cut_segments(length: int, gram: int):
 
 
 def _windows(length: int):
-    """All windows of the segments of hot anchors, by 128-bit hashes and the anchor's place in them."""
+    """All windows of the segments of hot anchors, by 128-bit hashes; the anchor and its place
+    in the window tell apart what several anchors of one window report of it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = []
-            for doc, mark, place, n, cut, s in zip(df["id"], df["mark"], df["place"], df["n"], df["cut"], df["bytes"], strict=True):
+            for h, doc, mark, place, n, cut, s in zip(df["h"], df["id"], df["mark"], df["place"], df["n"], df["cut"], df["bytes"], strict=True):
                 for a in range(0, min(cut, len(s) - length) + 1):
                     x = hashlib.blake2b(s[a : a + length], digest_size=16).digest()
-                    rows.append((int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True), doc, mark, place - cut + a, n))
-            yield pd.DataFrame(rows, columns=["x", "y", "id", "mark", "place", "n"])
+                    rows.append((h, cut - a, int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True), doc, mark, place - cut + a, n))
+            yield pd.DataFrame(rows, columns=["h", "rel", "x", "y", "id", "mark", "place", "n"])
 
     return run
 
@@ -331,9 +332,10 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: i
     ws.sweep()
     span = "id long, mark long, place long, stop long"
     sorted_ = cut.where(F.col("groups") <= group).repartition("h").sortWithinPartitions("h").mapInPandas(_sort_segments(length), span)
-    window = cut.where(F.col("groups") > group).mapInPandas(_windows(length), "x long, y long, id long, mark long, place long, n long")
-    again = window.groupBy("x", "y").agg(F.sum("n").alias("c")).where(F.col("c") > 1).select("x", "y")
-    hot = window.join(again, ["x", "y"], "left_semi").select("id", "mark", "place", (F.col("place") + length).alias("stop"))
+    window = cut.where(F.col("groups") > group).mapInPandas(_windows(length), "h long, rel int, x long, y long, id long, mark long, place long, n long")
+    key = ["h", "rel", "x", "y"]
+    again = window.groupBy(*key).agg(F.sum("n").alias("c")).where(F.col("c") > 1).select(*key)
+    hot = window.join(again, key, "left_semi").select("id", "mark", "place", (F.col("place") + length).alias("stop"))
     reach = length - gram
     copied = shared.join(whole, ["h", "seg"], "left_semi").select("id", "mark", F.greatest(F.col("place") - reach, F.lit(0)).alias("place"), (F.col("place") + length).alias("stop"))
     own = found.where(F.col("h").isNull()).select("id", "mark", "place", "stop")
@@ -347,6 +349,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     raw = F.col(text).cast("binary")
     own = docs.select(F.col(doc_id).alias("doc_id"), raw.alias("raw"), *_keys(raw, F.col(doc_id)))
     spans = ws.write(repeated_spans(own.select("id", "mark", "raw"), ws, length, gram, group), "spans")
+    for name in ("occurrences", "shared", "segments", "cut"):
+        ws.drop(name)
     ws.sweep()
     return own.join(spans.hint("merge"), ["id", "mark"], "left").select("doc_id", "raw", "spans")
 

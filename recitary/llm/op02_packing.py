@@ -9,12 +9,12 @@ are read, so extra columns can't clash.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +31,16 @@ TASK_ITEMS, FAN_IN = 200_000, 8
 
 class CachedTokenizer:
     """The tokenizer of a file, with its results remembered by word. Words are cut at
-    spaces and line feeds, across which its tokens never reach. Printable ASCII words
-    are lower-cased and cut by its own pattern; all others go through it as they are."""
+    spaces and line feeds, across which its tokens never reach. Plain words are
+    lower-cased and cut by its own pattern; all others go through it as they are."""
 
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: Printable ASCII and Latin-1: composed already, and lower-cased alike everywhere.
+    PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]*")
+    #: The tokenizer's own pattern over lower-cased plain words, and line feeds between words.
+    LETTERS, NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+    PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\n{LETTERS}{NUMBERS}]+|\n")
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -48,29 +52,42 @@ class CachedTokenizer:
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
+        # two generations: when the new one is full it becomes the old one, from which words in use return
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.limit = limit
 
     def _learn(self, words: list[str]) -> None:
         plain, other = [], []
         for w in words:
-            (plain if w.isascii() and w.isprintable() and "<|" not in w else other).append(w)
+            (plain if self.PLAIN.fullmatch(w) and "<|" not in w else other).append(w)
         for i in range(0, len(other), 1000):
             part = other[i : i + 1000]
             for w, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
-        cut = [self.PATTERN.findall(w.lower()) for w in plain]
-        new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.pieces]
+        if not plain:
+            return
+        known = self.pieces
+        found = self.PATTERN.findall("\n".join(plain).lower())
+        new = [p for p in dict.fromkeys(found) if p not in known and p != "\n"]
         for i in range(0, len(new), 200):
             part = new[i : i + 200]
             ids = np.array(self.parts.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.flatnonzero(self.ends[ids]) + 1
-            assert len(at) == len(part), "a piece did not end with a word end"
-            for p, x in zip(part, np.split(ids, at[:-1]), strict=True):
-                self.pieces[p] = x.tobytes()
-        for w, c in zip(plain, cut, strict=True):
-            self.words[w] = b"".join([self.pieces[p] for p in c])
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            assert len(ends) == len(part), "a piece did not end with a word end"
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(part, ends, strict=True):
+                known[p] = raw[at:end]
+                at = end
+        word, words = b"", iter(plain)
+        for p in found:
+            if p == "\n":
+                self.words[next(words)] = word
+                word = b""
+            else:
+                word = word + known[p] if word else known[p]
+        self.words[next(words)] = word
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit bytes."""
@@ -84,17 +101,18 @@ class CachedTokenizer:
         yield from self._encode(step)
 
     def _encode(self, texts: list[list[str]]) -> Iterator[bytes]:
-        known = self.words
-        new = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in known]
+        if len(self.words) > self.limit:
+            self.old, self.words = self.words, {}
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
+        known, old = self.words, self.old
+        new = set().union(*texts).difference(known)
         if new:
-            if len(known) + len(new) > self.limit or len(self.pieces) > self.limit:
-                known.clear()
-                self.pieces.clear()
-                known[""] = b""
-                new = [w for w in dict.fromkeys(w for t in texts for w in t) if w]
-            self._learn(new)
+            back = new.intersection(old)
+            known.update((w, old[w]) for w in back)
+            self._learn(sorted(new - back))
         for t in texts:
-            yield b"".join([known[w] for w in t])
+            yield b"".join(map(known.__getitem__, t))
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}

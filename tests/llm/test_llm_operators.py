@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import zlib
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -81,10 +82,15 @@ def test_url_filter(spark):
 PATH = op02_packing.vocabulary_path()
 
 
-def reference_ids(texts):
+@cache
+def library():
     from tokenizers import Tokenizer
 
-    return [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    return Tokenizer.from_file(PATH)
+
+
+def reference_ids(texts):
+    return [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=150, deadline=None)
@@ -217,7 +223,7 @@ def test_repeated_substrings(spark, docs, length, gram, group):
     assert sorted(tuple(r) for r in out.collect()) == want
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(st.lists(st.text(alphabet="abé", max_size=40), max_size=6))
 def test_repeats_random(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -290,7 +296,7 @@ def test_near_duplicate_edges(spark, docs):
     assert op07_minhash.near_duplicates(empty(spark, docs)).count() == 0
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=20))
 def test_components(spark, pairs):
     root = list(range(15))
@@ -339,7 +345,7 @@ def test_binomial_and_sequence():
 
 def test_quality_rules(spark):
     rows = quality_rows(4000)
-    docs = spark.createDataFrame([r[:3] for r in rows] + [(9001, None, None), (9002, prose(5, 40) + " #" * 30, None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([r[:3] for r in rows] + [(9001, None, None), (9002, prose(5, 40).replace(" ", "# "), None)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
     out = {r.doc_id: r for r in op09_quality_rules.judge(docs, labels, alpha=0.05).collect()}
     assert all(out[d].kept for d, _, _, q in rows if q) and not any(out[d].kept for d, _, _, q in rows if not q)

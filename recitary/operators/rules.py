@@ -57,11 +57,17 @@ def judge_madd(rules: Column, segments: Column, tolerance: float = TOLERANCE, sh
 
 
 def judge_aligned(rules: Column, pairs: Column, segments: Column, tolerance: float = TOLERANCE) -> Column:
-    """The same, where a rule's place is one among the expected tokens: it is carried over
-    to the predicted token that the alignment pairs with it. Unpaired rules are left out."""
-    place = lambda r: F.get(F.filter(pairs, lambda p: p["expected_index"] == r["phoneme_index"]), F.lit(0))["predicted_index"]
-    moved = F.transform(rules, lambda r: F.struct(place(r).alias("phoneme_index"), r["type"].alias("type"), r["expected_harakat"].alias("expected_harakat")))
-    return judge_madd(F.filter(moved, lambda r: r["phoneme_index"].isNotNull()), segments, tolerance)
+    """The same, where a rule's place is one among the expected tokens: the segment is that of
+    the predicted token which the alignment pairs with it. Unpaired rules are left out;
+    phoneme_index stays the expected place."""
+    mean = short_average(segments, F.array(*[F.lit(i) for i in short_ids()]))
+
+    def one(r: Column) -> Column:
+        at = F.get(F.filter(pairs, lambda p: p["expected_index"] == r["phoneme_index"]), F.lit(0))["predicted_index"]
+        seen = F.get(segments, at)["frames"] / mean
+        return F.struct(r["phoneme_index"].alias("phoneme_index"), r["type"].alias("type"), r["expected_harakat"].alias("expected"), F.round(seen, 2).alias("observed"), verdict(seen, r["expected_harakat"], tolerance).alias("status"))
+
+    return F.filter(F.transform(rules, one), lambda v: v["observed"].isNotNull())
 
 
 def harakat_ids() -> tuple[Column, Column]:

@@ -54,11 +54,12 @@ _digits = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("children", "dropped", "hash", "length", "linked", "tag")
+    __slots__ = ("children", "dropped", "hash", "header", "length", "linked", "tag")
 
     def __init__(self, tag: str, dropped: bool = False) -> None:
         self.tag, self.dropped, self.children = tag, dropped, []
         self.hash = self.length = self.linked = 0
+        self.header = False
 
 
 def named_out(tag: str, attributes: str) -> bool:
@@ -77,6 +78,15 @@ def named_out(tag: str, attributes: str) -> bool:
     return any(w.lower() in NAMES for w in _part.findall(found.get("class", "") + " " + found.get("id", "")))
 
 
+def is_header(tag: str, attributes: str) -> bool:
+    """A header by its own name, or by nothing but that word in class or id."""
+    if tag == "header":
+        return True
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _attribute.finditer(attributes)}
+    words = {w.lower() for w in _part.findall(found.get("class", "") + " " + found.get("id", ""))}
+    return words & NAMES == {"header"} and "hidden" not in found
+
+
 def parse(page: str) -> Node:
     """A tree of elements and strings. Optional end tags are supplied; what is left open ends with the page."""
     root = Node("#root")
@@ -120,6 +130,7 @@ def parse(page: str) -> Node:
                 elif stack[k].tag in SCOPES:
                     break
         node = Node(tag, named_out(tag, m[3]))
+        node.header = node.dropped and is_header(tag, m[3])
         stack[-1].children.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             continue
@@ -200,7 +211,7 @@ def _collect(top: Node, gone: set[int], whole_body: bool) -> list[str]:
         if n is not top:
             if n.dropped:
                 # a header inside an article may hold its headings
-                if not whole_body and n.tag == "header" and not headings:
+                if not whole_body and n.header and not headings:
                     headings = True
                 else:
                     continue

@@ -269,10 +269,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs less every document whose group keeps another one. The dropped ids are
-    broadcast while they are proven few, else joined."""
+    """docs less every document whose group keeps another one. An id goes if none of its rows
+    is kept; rows with a null id can't be named and stay. The dropped ids are broadcast while
+    they are proven few, else joined."""
     judged = near_duplicates(docs, **options)
-    gone = Workspace(docs.sparkSession, "dropped").write(judged.where(~F.col("kept")).select("doc_id").distinct(), "ids")
+    gone = judged.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
+    gone = Workspace(docs.sparkSession, "dropped").write(gone, "ids")
     return docs.join(small(gone, bound=BROADCAST_ROWS), "doc_id", "left_anti")
 
 

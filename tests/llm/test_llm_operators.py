@@ -176,6 +176,7 @@ def test_html():
     assert op04_html.main_text(PAGE) == "Head & line One two three four Five <six> a b c d"
     assert op04_html.main_text(None) == "" and op04_html.main_text("<p>a<p>b</i>c") == "a bc" and op04_html.main_text("plain &amp text <b") == "plain & text"
     assert op04_html.main_text("<body><main><p>x</p></main><p>y</p></body>") == "x"
+    assert op04_html.main_text("<article><div class='post-header'><h2>H</h2><i>by</i></div>x</article>") == "H x"
     assert op04_html.main_text("<div>" * 3000 + "deep") == "deep"
 
 

@@ -358,3 +358,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def query(spark, sf_dir):
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", digest()("raw", "spans").alias("d")).select("doc_id", "d.*")
+
+
+def oracle() -> str:
+    """Every window of every text by its md5, over hexadecimal texts; for small tables only."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+b AS (SELECT doc_id, j, least(256, n - 256 * j) AS n, substr(h, 512 * j + 1, {512 + 2 * LENGTH}) AS h
+      FROM (SELECT doc_id, h, n, unnest(range(0, (n + 255) // 256)) AS j FROM (SELECT doc_id, h, len(h) // 2 - {LENGTH - 1} AS n FROM d) WHERE n > 0)),
+w AS (SELECT doc_id, 256 * j + o AS i, md5(substr(h, 2 * o + 1, {2 * LENGTH})) AS v FROM (SELECT doc_id, j, h, unnest(range(0, n)) AS o FROM b)),
+r AS (SELECT v FROM w GROUP BY v HAVING count(*) > 1),
+p AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM w SEMI JOIN r USING (v)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY ALL),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+t AS (SELECT doc_id, count(*) AS n, sum(b - a) AS removed,
+        string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+      FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)"""

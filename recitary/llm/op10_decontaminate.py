@@ -296,5 +296,20 @@ def query(spark, sf_dir):
         F.size("hit.items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "hit.items"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.col("hit.longest").alias("longest"),
     )
+
+
+def oracle() -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+i AS (SELECT item_id, w, least({WINDOW}, len(w)) AS m FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, m, array_to_string(w[k:k + m - 1], ' ') AS v FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS k FROM i)),
+dw AS (SELECT doc_id, m, k, array_to_string(w[k:k + m - 1], ' ') AS v
+       FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM i) WHERE len(w) >= m)),
+h AS (SELECT doc_id, m, k, item_id FROM dw JOIN iw USING (m, v)),
+p AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(k, k + m)) AS x FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""

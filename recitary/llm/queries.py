@@ -27,4 +27,9 @@ QUERIES = {
     "op9_quality_rules": op09_quality_rules.query,
     "op10_decontaminate": op10_decontaminate.query,
 }
-ORACLES = {"op1_url_filter": op01_url_filter.oracle()}
+ORACLES = {
+    "op1_url_filter": op01_url_filter.oracle(),
+    "op5_substrings": op05_substrings.oracle(),
+    "op7_minhash": op07_minhash.oracle(),
+    "op10_decontaminate": op10_decontaminate.oracle(),
+}

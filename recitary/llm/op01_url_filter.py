@@ -4,7 +4,7 @@ host and path rules that overrule it.
 Edge cases. A null url, or one without "://", has an empty host and path, fits no
 rule and is allowed with no hits counted for null; terms in a schemeless url still
 count. Empty tables give empty results; repeated rows are judged row by row; other
-columns of the input pass through untouched, and clashing names are refused.
+columns of the input pass through, and those named like a new one are replaced.
 """
 
 from __future__ import annotations
@@ -84,9 +84,6 @@ def term_counter(strict=STRICT, soft=SOFT):
 def filter_urls(df: DataFrame, url: str = "url", rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """Adds host, path, rule, verdict, strict_hits and soft_hits. A rule decides where
     one fits; otherwise one strict term or `soft_limit` distinct soft terms block."""
-    clash = {"host", "path", "rule", "verdict", "strict_hits", "soft_hits"} & set(df.columns)
-    if clash:
-        raise ValueError(f"the input already has columns {sorted(clash)}")
     host, path = host_path(F.col(url))
     out = df.withColumns({"host": host, "path": path, "__terms": term_counter(strict, soft)(F.col(url))})
     out = out.withColumn("__rule", rule_column(F.col("host"), F.col("path"), rules))

@@ -115,10 +115,8 @@ SCAN = "n_assign long, n_access long, n_hex long, base_sha256 string, spans stri
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_assign, n_access, n_hex, base_sha256, spans, n_novel and redacted (the
-    text with every span replaced). Columns of these names in docs are refused."""
+    text with every span replaced). Columns of these names in docs are replaced."""
     new = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel", "redacted"]
-    if clash := set(new) & set(docs.columns):
-        raise ValueError(f"the input already has columns {sorted(clash)}")
 
     @F.pandas_udf(f"{SCAN}, redacted string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -132,7 +130,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                 rows.append((*n[:3], hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(every), n[3], redact(t, every)))
             yield pd.DataFrame(rows, columns=new)
 
-    return docs.withColumn("__scan", run(F.col(text))).select("*", "__scan.*").drop("__scan")
+    return docs.withColumn("__scan", run(F.col(text))).drop(*new).select("*", "__scan.*").drop("__scan")
 
 
 def query(spark, sf_dir):

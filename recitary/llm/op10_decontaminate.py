@@ -10,7 +10,7 @@ several automata by a hash of the item id, and documents pass them one after ano
 Edge cases. Null texts have no words. Items without words have no window; items with
 a null id count for hits, not for the list. Repeated items count once. Repeated
 documents are judged row by row. Empty tables give no hits or no rows. Extra columns
-of the documents pass through; clashing names are refused.
+of the documents pass through; one named hit is replaced.
 """
 
 from __future__ import annotations
@@ -245,9 +245,7 @@ def automata(items: DataFrame, item_id: str = "item_id", item_text: str = "text"
 
 
 def match(docs: DataFrame, autos: list, text: str = "text") -> DataFrame:
-    """docs with a struct column `hit`: n_words, longest, runs and items."""
-    if "hit" in docs.columns:
-        raise ValueError("the input already has a column hit")
+    """docs with a struct column `hit`: n_words, longest, runs and items. A column of that name is replaced."""
     ws, out = Workspace(docs.sparkSession, "decontaminate"), docs
     for k, auto in enumerate(autos):
         found = _scan(auto)(F.col(text))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recitary.functions.ship import ship
 from recitary.llm import op02_packing, op03_secrets, op06_toxicity, op07_minhash, op10_decontaminate
-from recitary.llm.common import Workspace
+from recitary.llm.common import Workspace, text_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,6 +26,7 @@ def _as_documents(df: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents whose score reaches their language's threshold."""
+    text_batches(spark)
     model, thresholds = op06_toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return op06_toxicity.score(docs.select(*COLUMNS), model, thresholds).where(~F.col("rejected")).select(*COLUMNS)
 
@@ -33,21 +34,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id in each group of near copies, under five-word
     shingles and a similarity of 0.8."""
+    text_batches(spark)
     return op07_minhash.keep_one(docs, size=5).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out benchmark passages; documents that consist of them for the most part go."""
+    text_batches(spark)
     return _as_documents(op10_decontaminate.decontaminate(docs, op10_decontaminate.automata(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redacts every secret found."""
+    text_batches(spark)
     return _as_documents(op03_secrets.scan(docs).withColumn("text", F.col("redacted")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of at most 2048."""
+    text_batches(spark)
     return op02_packing.pack(docs, op02_packing.vocabulary_path())
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a two- or three-column id table is broadcast (about 32 MB).
 BROADCAST_ROWS = 1_000_000
+TEXTS_PER_BATCH = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def text_batches(spark: SparkSession) -> SparkSession:
+    """Smaller Arrow batches than Spark's default, unless the session sets its own: rows hold
+    whole texts, and a worker has a batch in several forms at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(TEXTS_PER_BATCH))
+    return spark
+
+
 class Workspace:
     """Intermediate tables of one operator call, written as Parquet below the
     shared folder. They outlive lost executors and cut the lineage. drop()
@@ -73,7 +83,7 @@ def lower_words(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash, remembered; emptied when it reaches `limit` words."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 100_000) -> None:
         super().__init__()
         self.limit = limit
 

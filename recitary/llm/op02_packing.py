@@ -40,7 +40,7 @@ class CachedTokenizer:
     LETTERS, NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
     PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\n{LETTERS}{NUMBERS}]+|\n")
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 100_000) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -95,7 +95,7 @@ class CachedTokenizer:
         for t in texts:
             step.append((t or "").replace("\n", " ").split(" "))
             done += len(step[-1])
-            if done > 200_000:
+            if done > 100_000:
                 yield from self._encode(step)
                 step, done = [], 0
         yield from self._encode(step)

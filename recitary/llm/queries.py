@@ -14,19 +14,27 @@ from . import (
     op09_quality_rules,
     op10_decontaminate,
 )
+from .common import text_batches
 
-QUERIES = {
-    "op1_url_filter": op01_url_filter.query,
-    "op2_packing": op02_packing.query,
-    "op3_secrets": op03_secrets.query,
-    "op4_html": op04_html.query,
-    "op5_substrings": op05_substrings.query,
-    "op6_toxicity": op06_toxicity.query,
-    "op7_minhash": op07_minhash.query,
-    "op8_quality_model": op08_quality_model.query,
-    "op9_quality_rules": op09_quality_rules.query,
-    "op10_decontaminate": op10_decontaminate.query,
+_MODULES = {
+    "op1_url_filter": op01_url_filter,
+    "op2_packing": op02_packing,
+    "op3_secrets": op03_secrets,
+    "op4_html": op04_html,
+    "op5_substrings": op05_substrings,
+    "op6_toxicity": op06_toxicity,
+    "op7_minhash": op07_minhash,
+    "op8_quality_model": op08_quality_model,
+    "op9_quality_rules": op09_quality_rules,
+    "op10_decontaminate": op10_decontaminate,
 }
+
+
+def _query(module):
+    return lambda spark, sf_dir: module.query(text_batches(spark), sf_dir)
+
+
+QUERIES = {name: _query(module) for name, module in _MODULES.items()}
 ORACLES = {
     "op1_url_filter": op01_url_filter.oracle(),
     "op5_substrings": op05_substrings.oracle(),

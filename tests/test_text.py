@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from recitary.functions import alphabet, text
 from recitary.functions.phonemes import best_analysis, model_phonemes, model_phonemise, phonemes, phonemise, with_analyses
 
-GOLDEN = [line.rstrip("\n").split("\t") for line in (Path(__file__).parent / "golden_words.txt").read_text().splitlines()]
-GOLDEN = [(w.encode().decode("unicode_escape"), t.split(" ")) for w, t in GOLDEN]
+LINES = (Path(__file__).parent / "golden_words.txt").read_text(encoding="utf-8").split("\n")
+GOLDEN = [(w, t.split(" ")) for w, _, t in (line.partition("\t") for line in LINES if line and line[0] != "#")]
 
 
 def one(spark, column):

@@ -163,8 +163,8 @@ def test_manifest(spark, tmp_path):
     rec = spark.createDataFrame([("001002.mp3",), ("009009.mp3",)], "file string")
     assert [(r.file, r.ayah_text) for r in manifest.join_verses(rec, v).collect()] == [("001002.mp3", "second|more")]
     assert one(spark, manifest.pad3(F.lit("1234"))) == "1234" and manifest.without_basmala(rec).count() == 2
-    wide = spark.createDataFrame([("t", "a.wav", "0.0")], "ayah_text string, Husary string, Other string")
-    assert [(r.reciter_name, r.path) for r in manifest.unpivot_reciters(wide, ["ayah_text"], ["Husary", "Other"]).collect()] == [("Husary", "a.wav")]
+    wide = spark.createDataFrame([("t", "a.wav", "0.0")], "ayah_text string, Reader string, Other string")
+    assert [(r.reciter_name, r.path) for r in manifest.unpivot_reciters(wide, ["ayah_text"], ["Reader", "Other"]).collect()] == [("Reader", "a.wav")]
     manifest.write_phoneme_lines(spark.createDataFrame([("x", ["a", "b"])], "text string, tokens array<string>"), str(tmp_path / "out"))
     assert [(r.text, r.tokens) for r in manifest.parse_phoneme_lines(spark.read.text(str(tmp_path / "out"))).collect()] == [("x", ["a", "b"])]
     manifest.write_chunks(spark.createDataFrame([(i, f"l{i}") for i in range(8)], "i int, l string"), str(tmp_path / "c"), list("abcdef"), "i", "l")

@@ -200,20 +200,23 @@ def _merged():
     return run
 
 
-def _settled(broadcast):
-    """Arrow UDF: a text, cut until the automaton hits nothing in it."""
+def _cleaned(broadcast):
+    """Arrow UDF: words and hit words of a text, and the text cut until the automaton hits nothing in it."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("n_words long, n_hit long, text string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         auto = broadcast.value
-
-        def settle(t):
-            while isinstance(t, str) and (runs := auto.stream(folded(t))[1]):
-                t = cut_runs(t, runs)
-            return t if isinstance(t, str) else None
-
         for texts in batches:
-            yield pd.Series([settle(t) for t in texts], dtype="object")
+            rows = []
+            for t in texts:
+                t = t if isinstance(t, str) else None
+                n, runs, _, _ = auto.stream(folded(t))
+                hit = sum(b - a for a, b in runs)
+                while runs:
+                    t = cut_runs(t, runs)
+                    runs = auto.stream(folded(t))[1]
+                rows.append((n, hit, t))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "text"])
 
     return run
 
@@ -266,22 +269,23 @@ def hit_words():
 def decontaminate(docs: DataFrame, autos: list, text: str = "text", max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs with every hit run cut from the text; documents hit beyond max_coverage of
     their words are left out. What a cut brings together may form a window again, so
-    texts are cut until nothing is hit: in one pass for one automaton, else in rounds."""
-    out = match(docs, autos, text).where(hit_words() <= max_coverage * F.col("hit.n_words"))
-    dirty = F.size("hit.runs") > 0
-    out = out.withColumn(text, F.when(dirty, _settled(autos[0])(F.when(dirty, F.col(text)))).otherwise(F.col(text))).drop("hit")
+    texts are cut until nothing is hit: in one pass for one automaton, else in rounds.
+    A column named hit is replaced and dropped."""
+    if len(autos) == 1:
+        out = docs.withColumn("hit", _cleaned(autos[0])(F.col(text))).where(F.col("hit.n_hit") <= max_coverage * F.col("hit.n_words"))
+        return out.withColumn(text, F.col("hit.text")).drop("hit")
+    out = match(docs, autos, text).where(hit_words() <= max_coverage * F.col("hit.n_words")).drop("hit")
     ws, k = Workspace(docs.sparkSession, "cut"), 0
-    while len(autos) > 1:
+    while True:
         before = out.withColumn("__before", F.col(text))
         for auto in autos:
-            before = before.withColumn(text, _settled(auto)(F.col(text)))
+            before = before.withColumn(text, _cleaned(auto)(F.col(text))["text"])
         step = ws.write(before, f"round{k}")
         if k:
             ws.drop(f"round{k - 1}")
         out, k = step.drop("__before"), k + 1
         if step.where(~F.col(text).eqNullSafe(F.col("__before"))).isEmpty():
-            break
-    return out
+            return out
 
 
 def query(spark, sf_dir):

@@ -257,14 +257,18 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     sited = own.where(F.col("host") != "").select(F.xxhash64("host").alias("site"), "html")
     counts = sited.mapInPandas(count, "site long, sub long").groupBy("site", "sub").count().where(F.col("count") >= min(outside[0], inside[0]))
-    # sub 0 stands for the host's pages; one exchange by host gives each count its total
+    # written once, as two branches read it, and the pages are parsed for it
+    ws = Workspace(pages.sparkSession, "html")
+    counts = ws.write(counts, "counts")
+    # sub 0 stands for the host's pages
     per_site = counts.groupBy("site").agg(F.max(F.when(F.col("sub") == 0, F.col("count"))).alias("pages"))
     often = lambda least: (F.col("count") >= least[0]) & (F.col("count") >= least[1] * F.col("pages"))
     template = counts.where(F.col("sub") != 0).join(per_site, "site").where(often(outside) | often(inside))
     lists = template.groupBy("site").agg(
         F.collect_list(F.when(often(outside), F.col("sub"))).alias("outside"), F.collect_list(F.when(often(inside), F.col("sub"))).alias("inside"), F.count("*").alias("n")
     )
-    lists = Workspace(pages.sparkSession, "html").write(lists, "templates")
+    lists = ws.write(lists, "templates")
+    ws.drop("counts")
     total = lists.agg(F.sum("n")).first()[0] or 0
     lists = lists.select(F.col("site").alias("__site"), "outside", "inside")
     if total <= BROADCAST_ROWS:

@@ -218,7 +218,8 @@ def _cleaned(broadcast):
                 rows.append((n, hit, t))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "text"])
 
-    return run
+    # else a filter on its result would run it once more
+    return run.asNondeterministic()
 
 
 def cut_runs(text: str | None, runs: list[tuple[int, int]]) -> str | None:

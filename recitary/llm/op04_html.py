@@ -7,8 +7,9 @@ A recurring subtree outside the article goes from OUTSIDE of the host's pages on
 inside of it from INSIDE on, as articles may share a sentence.
 
 Edge cases. Null html is an empty page; a null url or one without a host has no site, so
-only markup is judged. Cut-off pages are closed at their end. Repeated pages count as
-pages. Pages without article or main element use their whole body, less lists of
+only markup is judged. Cut-off pages are closed at their end. Pages of a host with the
+same text, digits aside, count as one page, so copies make no template of their article.
+Pages without article or main element use their whole body, less lists of
 links. Empty tables give empty results; only the three named columns are read.
 """
 
@@ -175,10 +176,12 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def subtree_hashes(page: str) -> set[int]:
+def subtree_hashes(page: str) -> tuple[int, set[int]]:
+    """The hash of the page's text before templates go, alike for copies, and those of its subtrees."""
     root = parse(page)
     hash_subtrees(root)
-    return {_signed(n.hash) for n in _post_order(root) if n.hash and not n.dropped and n.tag not in ("#root", "html", "body", "b", "i", "em", "strong", "a", "span")}
+    content = xxhash.xxh3_64_intdigest(_digits.sub("0", _text(root)))
+    return _signed(content), {_signed(n.hash) for n in _post_order(root) if n.hash and not n.dropped and n.tag not in ("#root", "html", "body", "b", "i", "em", "strong", "a", "span")}
 
 
 def _articles(root: Node) -> list[Node]:
@@ -228,10 +231,7 @@ def _collect(top: Node, gone: set[int], whole_body: bool) -> list[str]:
     return out
 
 
-def main_text(page: str | None, outside=(), inside=()) -> str:
-    """The article's text; outside and inside: hashes of subtrees that are templates there."""
-    root = parse(page or "")
-    hash_subtrees(root)
+def _text(root: Node, outside=(), inside=()) -> str:
     tops = _articles(root)
     pieces: list[str] = []
     for top in tops or [root]:
@@ -239,24 +239,34 @@ def main_text(page: str | None, outside=(), inside=()) -> str:
     return " ".join("".join(pieces).split())
 
 
+def main_text(page: str | None, outside=(), inside=()) -> str:
+    """The article's text; outside and inside: hashes of subtrees that are templates there."""
+    root = parse(page or "")
+    hash_subtrees(root)
+    return _text(root, outside, inside)
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", outside=OUTSIDE, inside=INSIDE) -> DataFrame:
     """page_id, url, host, text and n_chars. The pages are read twice and not shuffled:
-    only (host, hash) counts are. A host has few templates, each on a set share of its
+    only (host, hash, hash of the page's text) are. A host has few templates, each on a set share of its
     pages at least; their table is broadcast while it is proven small, else joined by host."""
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     own = own.withColumn("host", host_path(F.col("url"))[0])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            hosts, subs = [], []
+            hosts, subs, contents = [], [], []
             for host, page in zip(df["site"], df["html"], strict=True):
-                found = [0, *subtree_hashes(page if isinstance(page, str) else "")]
-                hosts += [host] * len(found)
-                subs += found
-            yield pd.DataFrame({"site": pd.Series(hosts, dtype="int64"), "sub": pd.Series(subs, dtype="int64")})
+                content, found = subtree_hashes(page if isinstance(page, str) else "")
+                hosts += [host] * (len(found) + 1)
+                subs += [0, *found]
+                contents += [content] * (len(found) + 1)
+            yield pd.DataFrame({"site": pd.Series(hosts, dtype="int64"), "sub": pd.Series(subs, dtype="int64"), "content": pd.Series(contents, dtype="int64")})
 
     sited = own.where(F.col("host") != "").select(F.xxhash64("host").alias("site"), "html")
-    counts = sited.mapInPandas(count, "site long, sub long").groupBy("site", "sub").count().where(F.col("count") >= min(outside[0], inside[0]))
+    # copies of a page add one: they meet in (site, sub, content), at first where they are parsed
+    found = sited.mapInPandas(count, "site long, sub long, content long").distinct()
+    counts = found.groupBy("site", "sub").count().where(F.col("count") >= min(outside[0], inside[0]))
     # written once, as two branches read it, and the pages are parsed for it
     ws = Workspace(pages.sparkSession, "html")
     counts = ws.write(counts, "counts")

@@ -190,6 +190,18 @@ def test_templates(spark):
     assert op04_html.extract(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
 
+def test_copies_are_no_template(spark):
+    article, bare = "<html><body><article><p>{t}</p></article></body></html>", "<html><body><div><p>Ours</p></div><p>{t}</p></body></html>"
+    shared = "<html><body><article><p>Subscribe today</p><p>{t}</p></article></body></html>"
+    rows = [(i, f"http://a.io/{i}", article.format(t=prose(0 if i < 12 else i, 9))) for i in range(14)]
+    rows += [(i, f"http://b.io/{i}", bare.format(t=prose(0 if i < 33 else i, 9))) for i in range(30, 40)]
+    rows += [(i, f"http://c.io/{i}", shared.format(t=prose(max(i, 55), 9))) for i in range(50, 70)]
+    out = {r.page_id: r.text for r in op04_html.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(out[i] == prose(0 if i < 12 else i, 9) for i in range(14))
+    assert all(out[i] == prose(0 if i < 33 else i, 9) for i in range(30, 40))
+    assert all(out[i] == prose(max(i, 55), 9) for i in range(50, 70))
+
+
 # -- 5
 
 

@@ -1,7 +1,9 @@
 """Secret scan: fixed patterns, and dictionary-primed compression novelty. A candidate
 string near a sensitive word is reported if compressing it after its surroundings,
 with a dictionary of common identifiers and words, takes nearly as many bytes as it
-has: then nothing around it and no identifier explains it.
+has: then nothing around it and no identifier explains it. scan() cuts the candidate's own
+copies out of its surroundings first, so a secret written twice doesn't explain itself, and
+reports every occurrence of a string that is novel at one of them.
 
 Edge cases. Null text counts as empty: no spans. Texts of any length are scanned
 whole. Repeated rows are scanned row by row; empty tables give empty results. Offsets
@@ -72,8 +74,31 @@ def mixed(s: str) -> bool:
     return digits >= 2 and len(s) - digits >= 4 and len(set(s)) >= 8
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], measure: Novelty) -> list[tuple[int, int, str]]:
-    out, k = [], 0
+def value(s: str) -> str:
+    """What a candidate name=value assigns, if that is long enough for a candidate, else all of it."""
+    v = s.rstrip("=").rpartition("=")[2]
+    return v if len(v) >= LEAST else s
+
+
+def surroundings(text: str, a: int, b: int, apart: bool) -> tuple[str, str]:
+    """CONTEXT code points on either side; apart: less what they hold of text[a:b] or its
+    value, whole or cut by the window's edge."""
+    if not apart:
+        return text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
+    more = CONTEXT + b - a
+    before, after = text[max(0, a - more) : a], text[b : b + more]
+    for own in (text[a:b], value(text[a:b])):
+        before, after = (x.replace(own, "\0" * len(own)) for x in (before, after))
+    return before[-CONTEXT:].replace("\0", ""), after[:CONTEXT].replace("\0", "")
+
+
+def novelty(text: str, a: int, b: int, measure: Novelty, apart: bool) -> float:
+    before, after = surroundings(text, a, b, apart)
+    return measure.rate(before, text[a:b], after)
+
+
+def novel_spans(text: str, base: list[tuple[int, int, str]], measure: Novelty, apart: bool = False) -> list[tuple[int, int, str]]:
+    out, k, every = [], 0, []
     for m in _candidate.finditer(text):
         a, b = m.span()
         if not mixed(m[0]):
@@ -82,9 +107,12 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], measure: Novelty) -
             k += 1
         if any(x < b and y > a for x, y, _ in base[k : k + 4]):
             continue
-        before, after = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
-        if _sensitive.search(before[-CONTEXT // 2 :]) and measure.rate(before, m[0], after) >= NOVELTY:
+        every.append((a, b))
+        if _sensitive.search(text[max(0, a - CONTEXT // 2) : a]) and novelty(text, a, b, measure, apart) >= NOVELTY:
             out.append((a, b, "novel"))
+    if apart and out:
+        found = {value(text[a:b]) for a, b, _ in out}
+        out = [(a, b, "novel") for a, b in every if value(text[a:b]) in found]
     return out
 
 
@@ -92,9 +120,10 @@ def join_spans(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def find(text: str | None, measure: Novelty) -> tuple[list, list]:
+def find(text: str | None, measure: Novelty, apart: bool = False) -> tuple[list, list]:
+    """Base spans and all spans. apart: copies of a candidate don't explain it, as in scan()."""
     base = base_spans(text or "")
-    every = base + novel_spans(text or "", sorted(base), measure)
+    every = base + novel_spans(text or "", sorted(base), measure, apart)
     return base, sorted(every, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -125,7 +154,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = []
             for t in texts:
                 t = t if isinstance(t, str) else None
-                base, every = find(t, measure)
+                base, every = find(t, measure, apart=True)
                 n = [sum(s[2] == k for s in every) for k in KINDS]
                 rows.append((*n[:3], hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(every), n[3], redact(t, every)))
             yield pd.DataFrame(rows, columns=new)

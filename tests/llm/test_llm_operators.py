@@ -165,6 +165,15 @@ def test_secrets(spark, docs):
     assert op03_secrets.scan(docs.withColumns({"spans": F.lit(1), "redacted": F.lit(2)})).first().spans == ""
 
 
+def test_secrets_written_twice(spark):
+    key = "q8Zr3Lx0Vt7Kp2Wm9Ns4Yb"
+    texts = [f"credential {key} {key} {key}", f"the key is {key}. Then call login({key}) once.", f"credential={key} and {key}", f"key {key} " + prose(1, 60) + f" {key} end", f"key {key} {prose(1, 17)[:140]} {key} {key}"]
+    texts.append("the key of the machine is the_machine_name " * 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in op03_secrets.scan(df).collect()}
+    assert all(key not in r.redacted for r in out.values()) and [out[i].n_novel for i in range(6)] == [3, 2, 2, 2, 3, 0]
+
+
 # -- 4
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="no-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>

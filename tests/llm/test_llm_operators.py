@@ -174,6 +174,25 @@ def test_secrets_written_twice(spark):
     assert all(key not in r.redacted for r in out.values()) and [out[i].n_novel for i in range(6)] == [3, 2, 2, 2, 3, 0]
 
 
+def test_secrets_of_letters_and_blocks():
+    measure, rng = op03_secrets.Novelty(), np.random.default_rng(1)
+    draw = lambda n, alphabet: "".join(rng.choice(list(alphabet), n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = "Please take {} as the token from now on, and tell nobody about it before the end of the week."
+    keys = [draw(20, letters) for _ in range(50)]
+    assert sum(k not in op03_secrets.redact(text.format(k), op03_secrets.find(text.format(k), measure)[1]) for k in keys) >= 45
+    for word in ("Donaudampfschifffahrtsgesellschaft", "getAuthenticationTokenFromRequest", "SPRING_DATASOURCE_PASSWORD", "how-to-reset-your-password", "/usr/local/share/ca-certificates"):
+        assert op03_secrets.find(text.format(word), measure)[1] == [] and op03_secrets.find(f"key {word}", measure)[1] == []
+    after = "q8Zr3Lx0Vt7Kp2Wm9Ns4Yb is your new password"
+    assert op03_secrets.find(after, measure)[1] == [(0, 22, "novel")]
+    lines = [draw(64, letters + "0123456789+/") for _ in range(12)] + ["aB3/xYz=="]
+    block = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----\n"
+    for apart in (False, True):
+        found = op03_secrets.find("Some text.\n" + block + "More text.", measure, apart)[1]
+        left = op03_secrets.redact("Some text.\n" + block + "More text.", found)
+        assert not any(x in left for x in lines) and left.startswith("Some text.") and left.endswith("More text.")
+
+
 # -- 4
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="no-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>

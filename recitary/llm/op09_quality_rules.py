@@ -1,12 +1,16 @@
-"""Quality rules with risk-controlled thresholds: for each stratum and statistic, cutoffs
-are tried from loose to strict on labelled holdouts; a cutoff stands while an exact
-binomial test bounds the false rejection of good documents.
+"""Quality rules with risk-controlled thresholds: for each stratum, cutoffs of the
+statistics together are tried from loose to strict on labelled holdouts; they stand
+while an exact binomial test bounds the false rejection of good documents.
 
 Guarantee. With probability 1 - DELTA over the holdout, every stratum loses at most
-ALPHA of its good documents to the rules together: each statistic gets ALPHA / their
-number (union bound), each (stratum, statistic) pair is tested at DELTA / number of
-pairs (Bonferroni), and the tests of one pair run in a fixed sequence that ends at the
-first failure, which needs no further correction. The grid is fixed, not read off the data.
+ALPHA of its good documents to the rules together. Several fixed sequences are tested
+in each stratum. Those of joint cutoffs bound the documents that any of the statistics
+rejects, by the whole ALPHA: the statistics one after the other in the grid's order (at
+half of DELTA), in its rotations, and step by step in turn. One sequence for each
+statistic alone, at ALPHA / their number, gives cutoffs that hold together by the union
+bound. The sequences share DELTA (Bonferroni), also over strata; each ends at its
+first failure, which needs no further correction. As all hold at once, the cutoffs that
+reject most low-quality learning documents are taken. The grid is fixed, not read off the data.
 
 Edge cases. Null text has no words and fails the base rule. A null stratum is a
 stratum of its own; strata too small to certify a cutoff, or without labels, get none,
@@ -71,22 +75,55 @@ def certified(rejected: list[int], n: int, alpha: float, level: float) -> int:
     return len(rejected)
 
 
+def places() -> list[dict[str, list[int]]]:
+    """The joint sequences, the first one in the grid's order: where in it each statistic's cutoffs come."""
+    names = list(GRID)
+    out = []
+    for k in range(len(names)):
+        at = 0
+        out.append({})
+        for s in names[k:] + names[:k]:
+            out[-1][s] = list(range(at, at + len(GRID[s])))
+            at += len(GRID[s])
+    turns = sorted((i, names.index(s), s) for s in names for i in range(len(GRID[s])))
+    out.append({s: [at for at, t in enumerate(turns) if t[2] == s] for s in names})
+    return out
+
+
+def best_cutoffs(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, alpha: float, delta: float) -> list[int]:
+    """How many cutoffs of each statistic hold in a stratum. levels: by statistic, how many cutoffs of the
+    grid a document stays within; good, bad: numbers of such documents."""
+    n, joint = int(good.sum()), places()
+    level = delta / 2 / (len(joint) - 1 + len(GRID))
+    found = []
+    for k, place in enumerate(joint):
+        length = sum(map(len, GRID.values()))
+        first = np.min([np.array([*place[s], length])[levels[:, j]] for j, s in enumerate(GRID)], axis=0)
+        steps = certified(np.cumsum(np.bincount(first, good, length)[:length]).round().astype(int).tolist(), n, alpha, level if k else delta / 2)
+        found.append([sum(at < steps for at in place[s]) for s in GRID])
+    found.append([certified([int(good[levels[:, j] <= i].sum()) for i in range(len(cs))], n, alpha / len(GRID), level) for j, cs in enumerate(GRID.values())])
+    return max(found, key=lambda c: (bad[(levels < np.array(c)).any(axis=1)].sum(), sum(c)))
+
+
 def thresholds(holdout: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """holdout: good documents that pass the base rule, with the ratios. One row for each
-    stratum: its cutoffs by name (null: none certified) and its number of documents.
+    """holdout: labelled documents that pass the base rule, with the ratios and quality. One row for
+    each stratum: its cutoffs by name (null: none certified) and its number of good documents.
     Spark counts; only one row of counts for each stratum is tested."""
-    counted = holdout.groupBy(F.col(stratum).alias("stratum")).agg(
-        F.count("*").alias("n"), *[F.array(*[F.sum((F.col(s) > c).cast("long")) for c in cs]).alias(s) for s, cs in GRID.items()]
-    )
-    strata = holdout.agg(F.count_distinct(F.coalesce(F.col(stratum).cast("string"), F.lit("\0null")))).first()[0]
-    level = delta / max(1, strata * len(GRID))
+    # each cutoff that is kept narrows the next ones, so their number says which
+    within = {s: sum((F.col(s) <= c).cast("int") for c in cs) for s, cs in GRID.items()}
+    levels = holdout.select(F.col(stratum).alias("stratum"), (F.col("quality") == 1).alias("good"), *[w.alias(s) for s, w in within.items()])
+    counts = levels.groupBy("stratum", *GRID).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    counted = counts.groupBy("stratum").agg(F.sum("good").alias("n"), F.collect_list(F.struct(*GRID, "good", "bad")).alias("rows")).where("n > 0")
+    strata = holdout.where(F.col("quality") == 1).agg(F.count_distinct(F.coalesce(F.col(stratum).cast("string"), F.lit("\0null")))).first()[0]
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            out = df[["stratum", "n"]].copy()
-            for s, cs in GRID.items():
-                best = [certified(list(k), n, alpha / len(GRID), level) for k, n in zip(df[s], df["n"], strict=True)]
-                out[s] = [float(cs[b - 1]) if b else None for b in best]
+            out, best = df[["stratum", "n"]].copy(), []
+            for rows in df["rows"]:
+                table = np.array([[r[x] for x in (*GRID, "good", "bad")] for r in rows], dtype=np.int64)
+                best.append(best_cutoffs(table[:, :-2], table[:, -2], table[:, -1], alpha, delta / max(1, strata)))
+            for j, (s, cs) in enumerate(GRID.items()):
+                out[s] = [float(cs[b[j] - 1]) if b[j] else None for b in best]
                 out[s] = out[s].astype("float64")
             yield out
 
@@ -100,8 +137,8 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     stats = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), statistics(F.col(text)).alias("s"))
     stats = ws.write(stats.select("doc_id", "stratum", *[f"s.{c}" for c in COUNTS]), "stats")
     stats = stats.withColumns({k: ratio(a, b) for k, (a, b) in RATIOS.items()}).withColumn("base_failed", base_failed())
-    good = labels.where(learning_rows()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where(F.col("quality") == 1).select("doc_id")
-    cut = ws.write(thresholds(stats.where(~F.col("base_failed")).join(good, "doc_id"), "stratum", alpha, delta), "cutoffs")
+    learned = labels.where(learning_rows()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where(F.col("quality").isNotNull())
+    cut = ws.write(thresholds(stats.where(~F.col("base_failed")).join(learned, "doc_id"), "stratum", alpha, delta), "cutoffs")
     cut = cut.select(F.col("stratum").alias("__stratum"), *[F.col(s).alias(f"__{s}") for s in GRID])
     joined = stats.join(small(cut), stats["stratum"].eqNullSafe(cut["__stratum"]), "left")
     broken = F.array_compact(F.array(*[F.when(F.col(s) > F.col(f"__{s}"), F.lit(s)) for s in GRID]))

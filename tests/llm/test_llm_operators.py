@@ -397,6 +397,28 @@ def test_quality_rules(spark):
     assert op09_quality_rules.judge(empty(spark, docs), labels).count() == 0
 
 
+def test_quality_rules_at_production_values(spark):
+    rows = [(i, prose(i, 40).replace(" ", " " if i % 5 else "# "), "en", int(i % 5 > 0)) for i in range(1500)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    stays = {r.doc_id for r in op09_quality_rules.judge(docs, labels).collect() if r.kept}
+    assert stays == {d for d, _, _, q in rows if q}
+
+
+def test_joint_cutoffs():
+    grid = [len(cs) for cs in op09_quality_rules.GRID.values()]
+    for place in op09_quality_rules.places():
+        assert sorted(sum(place.values(), [])) == list(range(sum(grid))) and all(p == sorted(p) for p in place.values())
+    best = lambda *rows: op09_quality_rules.best_cutoffs(*[np.array(x) for x in zip(*rows, strict=True)], 0.01, 0.05)
+    assert best((grid, 367, 0)) == [0] * 4 and best((grid, 368, 0)) == grid  # 0.99**368 < 0.025 < 0.99**367
+    assert best((grid, 1000, 0), ([0, 10, 10, 10], 30, 0), ([10, 10, 10, 3], 0, 5))[3] > 3
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        levels, good = rng.integers(0, 11, (60, 4)), rng.integers(0, 3, 60)
+        c = best(*[(x, g, 1) for x, g in zip(levels, good, strict=True)], (grid, 5000, 0))
+        assert good[(levels < np.array(c)).any(axis=1)].sum() <= 0.01 * (5000 + good.sum())
+
+
 # -- 10
 
 

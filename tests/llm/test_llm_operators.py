@@ -299,6 +299,17 @@ def test_toxicity(spark):
     assert few.score(long) == pytest.approx(0.4)
 
 
+def test_toxicity_cutoff_below(spark):
+    texts = [prose(i, 60) + (" vile scum" if i % 4 == 0 else "") for i in range(400)]
+    y = np.array([i % 4 == 0 and i % 20 < 12 for i in range(400)], dtype=float)
+    model, cuts = op06_toxicity.train(texts, y, ["en"] * 395 + ["de"] * 5)
+    assert cuts["en"] < op06_toxicity.THRESHOLD and "de" not in cuts and cuts[None] < op06_toxicity.THRESHOLD
+    df = spark.createDataFrame([(i, prose(1000 + i, 60) + (" vile scum" if i % 2 else ""), "en" if i < 20 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    out = op06_toxicity.score(df, model, cuts).collect()
+    assert all(r.rejected == (r.score >= cuts.get(r.lang, cuts[None])) for r in out)
+    assert all(any(r.rejected and r.score < op06_toxicity.THRESHOLD for r in out if r.lang == x) for x in ("en", "de"))
+
+
 # -- 7
 
 

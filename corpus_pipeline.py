@@ -51,9 +51,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of at most 2048."""
+    """Token pieces with their ids and their places in sequences of at most 2048."""
     text_batches(spark)
-    return op02_packing.pack(docs, op02_packing.vocabulary_path())
+    return op02_packing.pack(docs, op02_packing.vocabulary_path(), ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

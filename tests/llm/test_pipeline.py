@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -78,3 +79,10 @@ def test_run(spark, sf_dir):
     out = __spark_entry__.queries()["pipeline"](spark, sf_dir)
     fill = out.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
     assert fill.max() <= op02_packing.CAPACITY and len(fill) == -(-fill.sum() // op02_packing.CAPACITY)
+
+
+def test_token_ids_are_left(spark, sf_dir):
+    out = corpus_pipeline.run(spark, sf_dir)
+    rows = out.collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    assert sum(len(r.ids) for r in op02_packing.sequences(out).collect()) == 4 * sum(r.length for r in rows)

@@ -12,7 +12,7 @@ are compared. Every band value that several classes share is a bucket:
     links at once and emits links only, never the pairs it tries.
 So every pair that shares a band lies in one component or was compared. A pair at the
 threshold shares one of 32 bands but for 5 in 10^8 cases, and passes the signature
-test but for 3 in 10^6. A large cluster is dealt to pairs of chunks of bounded size; chunks
+test but for 3 in 10^11. A large cluster is dealt to pairs of chunks of bounded size; chunks
 of its largest component are never paired with each other, so copies of one text cost
 no more than their number.
 
@@ -37,9 +37,9 @@ from .components import connected_components
 SHINGLE, THRESHOLD = 4, 80
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Signature agreement (of 128) below which a pair can't be at the threshold: 0.8 less
-#: 4.5 standard deviations, and the members of one chunk of a cluster.
-AGREE, CHUNK = 82, 1024
+#: Signature agreement (of 128) below which a pair is not tried: at the threshold 3 in 10^11 agree in
+#: fewer (binomial), far less than share no band; and the members of one chunk of a cluster.
+AGREE, CHUNK = 70, 1024
 
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]

@@ -342,6 +342,14 @@ def test_near_duplicates(spark, docs, monkeypatch, chunk, size):
     assert kept == {d for d, r in out.items() if r[2]}
 
 
+def test_link_of_low_agreement():
+    """An exact link whose signatures agree in 75 of 128 values only."""
+    sets = [np.arange(90, dtype=np.uint64), np.arange(10, 100, dtype=np.uint64)]
+    sig = np.zeros((2, 128), dtype=np.uint32)
+    sig[1, 75:] = 1
+    assert op07_minhash.link_members(sets, sig, [0, 1], [0], [1], 80) == [(0, 1)]
+
+
 def test_near_duplicate_edges(spark, docs):
     rows = [(None, "a b c d e"), (None, "a b c d e"), (None, None), (3, "a b c d e"), (3, "a b c d e"), (4, "only null ids"), (None, "x y z w v")]
     out = op07_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +95,47 @@ class WordHash(dict):
         return h
 
 
+_BASE = 0x9E3779B97F4A7C15 | 5
+_BYTE = np.random.default_rng(99).integers(1, 2**64 - 1, 256, dtype=np.uint64)
+_powers: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo 2^64 for i < n at least, kept by each worker."""
+    global _powers
+    if _powers is None or len(_powers[0]) < n:
+        n, both = 1 << (n - 1).bit_length(), []
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(n, np.uint64(b), dtype=np.uint64)
+            p[0] = 1
+            both.append(np.cumprod(p, dtype=np.uint64))
+        _powers = both[0], both[1]
+    return _powers
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return h ^ (h >> np.uint64(33))
+
+
+def prefix_sums(b: np.ndarray) -> np.ndarray:
+    """Polynomial prefix sums of bytes: a span's hash is a difference of two, times base^-start."""
+    total = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[b] * powers(len(b) + 1)[0][: len(b)], out=total[1:])
+    return total
+
+
+def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, their lengths hashed in. Spans of over 512 bytes, for which
+    polynomials modulo 2^64 may be made to collide, are hashed one by one."""
+    total = prefix_sums(b)
+    out = mix64((total[end] - total[start]) * powers(len(b) + 1)[1][start] + mix64((end - start).astype(np.uint64)))
+    for k in np.flatnonzero(end - start > 512).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(b[start[k] : end[k]])
+    return out
+
+
 def learning_rows(col: str = "doc_id"):
     """Rows that labels may be learned from: crc32 of the id as text, modulo 3, is not 1."""
     return (F.crc32(F.col(col).cast("string")) % 3) != 1

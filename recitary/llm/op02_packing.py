@@ -4,7 +4,9 @@ items, again.
 
 Edge cases. Null text counts as empty and gives one piece, the separator alone.
 Repeated rows are packed once each. Empty tables give no pieces. Only id and text
-are read, so extra columns can't clash.
+are read, so extra columns can't clash. Texts of any length are tokenised in blocks cut
+between words; only their ids are held whole. Bins that tie in free places are taken in
+any order; the number of sequences is the same.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, span_hashes
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -27,20 +30,31 @@ SEPARATOR = 0
 SLACK = 4
 #: Items that one task packs at a time (about 50 MB), and partitions a merge round joins.
 TASK_ITEMS, FAN_IN = 200_000, 8
+#: Characters tokenised at once (about 60 bytes of memory for each).
+BLOCK = 1 << 20
 
 
 class CachedTokenizer:
-    """The tokenizer of a file, with its results remembered by word. Words are cut at
-    spaces and line feeds, across which its tokens never reach. Plain words are
-    lower-cased and cut by its own pattern; all others go through it as they are."""
+    """The tokenizer of a file, with its results remembered by piece in flat arrays, some 40 bytes
+    for each. Words are cut at spaces and line feeds, across which its tokens never reach.
+    Plain words are lower-cased and cut to pieces by its own pattern, over the bytes of
+    many texts at once; all others go through it as they are and are one piece each.
+    Pieces are known by 64-bit hashes."""
 
     #: Printable ASCII and Latin-1: composed already, and lower-cased alike everywhere.
     PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]*")
-    #: The tokenizer's own pattern over lower-cased plain words, and line feeds between words.
-    LETTERS, NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-    PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\n{LETTERS}{NUMBERS}]+|\n")
-
-    def __init__(self, path: str, limit: int = 100_000) -> None:
+    PLAIN_BYTES = b"\n" + bytes([*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
+    LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
+    #: The tokenizer's own pattern by kinds of characters: 's 't 're 've 'm 'll 'd, runs of letters, single
+    #: numbers, runs of others. MARK stands for a word that isn't plain.
+    SPACE, LETTER, NUMBER, SIGN, MARK = range(5)
+    KIND = np.full(256, SIGN, dtype=np.uint8)
+    KIND[[10, 32]] = SPACE
+    KIND[list("abcdefghijklmnopqrstuvwxyz\u00aa\u00b5\u00ba".encode("latin-1")) + [x for x in range(0xDF, 0x100) if x != 0xF7]] = LETTER
+    KIND[list("0123456789\u00b2\u00b3\u00b9\u00bc\u00bd\u00be".encode("latin-1"))] = NUMBER
+    KIND[1] = MARK
+
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -52,67 +66,143 @@ class CachedTokenizer:
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        # two generations: when the new one is full it becomes the old one, from which words in use return
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.limit = limit
-
-    def _learn(self, words: list[str]) -> None:
-        plain, other = [], []
-        for w in words:
-            (plain if self.PLAIN.fullmatch(w) and "<|" not in w else other).append(w)
-        for i in range(0, len(other), 1000):
-            part = other[i : i + 1000]
-            for w, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
-        if not plain:
-            return
-        known = self.pieces
-        found = self.PATTERN.findall("\n".join(plain).lower())
-        new = [p for p in dict.fromkeys(found) if p not in known and p != "\n"]
-        for i in range(0, len(new), 200):
-            part = new[i : i + 200]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the tables: sorted keys of pieces, their rows, and each row's ids in `flat`."""
+        self.keys, self.rows = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        self.starts, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype="<u4")
+
+    def _learn(self, plain: list[str], other: list[str]) -> None:
+        """Appends a row for each piece, the plain ones first."""
+        found, sizes = [self.flat], []
+        for i in range(0, len(plain), 200):
+            part = plain[i : i + 200]
             ids = np.array(self.parts.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            assert len(ends) == len(part), "a piece did not end with a word end"
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(part, ends, strict=True):
-                known[p] = raw[at:end]
-                at = end
-        word, words = b"", iter(plain)
-        for p in found:
-            if p == "\n":
-                self.words[next(words)] = word
-                word = b""
-            else:
-                word = word + known[p] if word else known[p]
-        self.words[next(words)] = word
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            assert len(ends) == len(part) and ends[-1] == len(ids), "a piece did not end with a word end"
+            found.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        for i in range(0, len(other), 1000):
+            own = [e.ids for e in self.whole.encode_batch_fast(other[i : i + 1000], add_special_tokens=False)]
+            found.append(np.fromiter((x for ids in own for x in ids), dtype="<u4"))
+            sizes.append(np.array([len(ids) for ids in own], dtype=np.int64))
+        self.flat = np.concatenate(found)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def _pieces(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces of lower-cased plain bytes, which end with a line feed."""
+        kind = self.KIND[b]
+        new = np.r_[True, kind[1:] != kind[:-1]] | (kind == self.NUMBER) | (kind == self.MARK)
+        # an apostrophe by itself takes the letters of a contraction from the run that follows
+        q = np.flatnonzero(new & (b == ord("'")))
+        q = q[kind[q + 1] == self.LETTER]
+        one = q[np.isin(b[q + 1], list(b"stmd"))]
+        two = q[np.isin(b[q + 1].astype(np.uint16) << 8 | b[q + 2], [x << 8 | y for x, y in (b"re", b"ve", b"ll")])]
+        for own, n in ((one, 2), (two, 3)):
+            new[own + 1] = False
+            new[own + n] |= kind[own + n] == self.LETTER
+        at = np.flatnonzero(new | (kind == self.SPACE))
+        piece = np.flatnonzero(kind[at] != self.SPACE)
+        return at[piece], at[piece + 1]
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts one after the other, and where each part's end."""
+        raws, other = [], []
+        for p in parts:
+            try:
+                raw = p.encode("latin-1")
+                plain = not raw.translate(None, self.PLAIN_BYTES) and b"<|" not in raw
+            except UnicodeEncodeError:
+                plain = False
+            if not plain:
+                words = p.replace("\n", " ").split(" ")
+                for i, w in enumerate(words):
+                    if not self.PLAIN.fullmatch(w) or "<|" in w:
+                        other.append(w)
+                        words[i] = "\1"
+                raw = " ".join(words).encode("latin-1")
+            raws.append(raw + b"\n")
+        low = b"".join(raws).translate(self.LOWER)
+        b = np.frombuffer(low, dtype=np.uint8)
+        start, end = self._pieces(b)
+        keys = span_hashes(b, start, end)
+        marked = np.flatnonzero(b[start] == 1)
+        keys[marked] = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), 1) for w in other]
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.keys) > self.limit:
+            self._forget()
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            own = first[new]
+            from_other = b[start[own]] == 1
+            new, own = np.r_[new[~from_other], new[from_other]], np.r_[own[~from_other], own[from_other]]
+            n, k = len(self.starts) - 1, int((~from_other).sum())
+            spans = zip(start[own[:k]].tolist(), end[own[:k]].tolist(), strict=True)
+            self._learn([low[x:y].decode("latin-1") for x, y in spans], [other[i] for i in np.searchsorted(marked, own[k:]).tolist()])
+            rows = np.zeros(len(distinct), dtype=np.int32)
+            rows[new] = np.arange(n, n + len(new))
+            self.keys = np.insert(self.keys, at[~known], distinct[~known])
+            self.rows = np.insert(self.rows, at[~known], rows[~known])
+            at = np.searchsorted(self.keys, distinct)
+        row = self.rows[at][inverse]
+        size = self.starts[row + 1] - self.starts[row]
+        done = np.r_[0, np.cumsum(size)]
+        ids = self.flat[np.repeat(self.starts[row] - done[:-1], size) + np.arange(done[-1])]
+        return ids, done[np.searchsorted(start, np.cumsum([len(r) for r in raws]))]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit bytes."""
-        step, done = [], 0
-        for t in texts:
-            step.append((t or "").replace("\n", " ").split(" "))
-            done += len(step[-1])
-            if done > 100_000:
-                yield from self._encode(step)
-                step, done = [], 0
-        yield from self._encode(step)
-
-    def _encode(self, texts: list[list[str]]) -> Iterator[bytes]:
-        if len(self.words) > self.limit:
-            self.old, self.words = self.words, {}
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        known, old = self.words, self.old
-        new = set().union(*texts).difference(known)
-        if new:
-            back = new.intersection(old)
-            known.update((w, old[w]) for w in back)
-            self._learn(sorted(new - back))
-        for t in texts:
-            yield b"".join(map(known.__getitem__, t))
+        """Each text's ids as little-endian unsigned 32-bit bytes. Texts are taken up in blocks of
+        about BLOCK characters; a longer one is cut between words."""
+        held: list[str] = []
+        whose: list[int] = []
+        size = 0
+
+        def blocks():
+            for k, t in enumerate(texts):
+                t, at = t or "", 0
+                while len(t) - at > BLOCK:
+                    cut = max(t.rfind(" ", at, at + BLOCK), t.rfind("\n", at, at + BLOCK))
+                    if cut < at:
+                        cut = min((x for x in (t.find(" ", at), t.find("\n", at)) if x >= 0), default=len(t))
+                    yield k, t[at:cut]
+                    at = cut
+                    if not at < len(t):
+                        break
+                    at += 1
+                yield k, t[at:]
+
+        def encoded():
+            ids, ends = self._encode(held)
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            return zip(whose, (raw[x:y] for x, y in zip([0, *ends], ends, strict=False)), strict=True)
+
+        last: list[bytes] = []
+        now = 0
+        for k, part in blocks():
+            held.append(part)
+            whose.append(k)
+            size += len(part)
+            if size >= BLOCK:
+                for j, raw in encoded():
+                    if j != now:
+                        yield b"".join(last)
+                        last, now = [], j
+                    last.append(raw)
+                held, whose, size = [], [], 0
+        if held:
+            for j, raw in encoded():
+                if j != now:
+                    yield b"".join(last)
+                    last, now = [], j
+                last.append(raw)
+        if texts:
+            yield b"".join(last)
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}

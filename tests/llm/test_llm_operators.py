@@ -101,6 +101,14 @@ def test_tokens_equal_the_library(text):
         assert np.frombuffer(own, "<u4").tolist() == reference_ids([t])[0]
 
 
+def test_tokens_in_blocks(monkeypatch):
+    monkeypatch.setattr(op02_packing, "BLOCK", 9)
+    texts = ["", None, "a b", "it's they'll we've x're 'tis ''s a'start", "word" * 8 + " end", " \n lead", "tail  \n", "x\ty z\u2019s caf\u00e9 \u00c9t\u00c9 12\u00b2", "<|endoftext|> a", prose(3, 30), "\u4e2d\u6587 \x00 \x01 b"]
+    for t in (op02_packing.CachedTokenizer(PATH), op02_packing.CachedTokenizer(PATH, limit=3)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in t.encode(texts)] == reference_ids([t or "" for t in texts])
+    assert list(op02_packing.CachedTokenizer(PATH).encode([])) == []
+
+
 def test_tokenizer_generations():
     t = op02_packing.CachedTokenizer(PATH, limit=5)
     texts = [prose(i % 3, 20) for i in range(12)]

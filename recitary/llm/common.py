@@ -7,53 +7,70 @@ import atexit
 import os
 import tempfile
 import uuid
+import warnings
 
 import numpy as np
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a two- or three-column id table is broadcast (about 32 MB).
 BROADCAST_ROWS = 1_000_000
-TEXTS_PER_BATCH = 2_000
+TEXTS_PER_BATCH, BYTES_PER_BATCH = 2_000, str(16 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one of our own where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local
+    master a temporary one of our own where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "recitary-shared")
     return path.rstrip("/")
 
 
 def text_batches(spark: SparkSession) -> SparkSession:
-    """Smaller Arrow batches than Spark's default, unless the session sets its own: rows hold
-    whole texts, and a worker has a batch in several forms at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(TEXTS_PER_BATCH))
+    """Smaller Arrow batches than Spark's defaults (10,000 rows, 64 MB), unless the session sets its
+    own: rows hold whole texts, and a worker has a batch in several forms at once. It is a
+    setting of the session and so holds for its other Arrow jobs too; results don't depend on it."""
+    for name, default, own in (("maxRecordsPerBatch", "10000", str(TEXTS_PER_BATCH)), ("maxBytesPerBatch", "67108864", BYTES_PER_BATCH)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, default) in (default, "64MB"):
+            spark.conf.set(name, own)
     return spark
 
 
 class Workspace:
     """Intermediate tables of one operator call, written as Parquet below the
     shared folder. They outlive lost executors and cut the lineage. drop()
-    removes a table once nothing reads it; the rest goes when the driver ends."""
+    removes a table once nothing reads it, keep_only() all but some; the rest goes when the
+    driver ends, be the session stopped by then or not."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        # both outlive the session
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         atexit.register(self._remove, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
+        self.names.discard(name)
         self._remove(f"{self.root}/{name}")
 
+    def keep_only(self, *names: str) -> None:
+        for name in self.names - set(names):
+            self.drop(name)
+
     def sweep(self) -> None:
         """Lets Spark's cleaner drop the shuffle files of jobs that are over: it goes by the
         driver's garbage, which may not be collected for long."""
@@ -61,11 +78,9 @@ class Workspace:
 
     def _remove(self, path: str) -> None:
         try:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session is already gone: nothing to remove with
-            return
+            self._files.delete(self._path(path), True)
+        except (Py4JError, OSError) as e:
+            warnings.warn(f"{path} was not removed: {type(e).__name__}", stacklevel=2)
 
 
 def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:

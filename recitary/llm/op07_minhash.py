@@ -6,20 +6,23 @@ Documents with equal shingle sets form a class and one link settles them; only c
 are compared. Every band value that several classes share is a bucket:
  1. each class is tried against one hub of its buckets, a link for each class;
  2. components of the confirmed links are found;
- 3. buckets that still hold several components are chained to clusters. In a cluster the
-    members outside its largest component are compared with all members of other
-    components, by size and signature first and then on full sets. A task joins what it
-    links at once and emits links only, never the pairs it tries.
-So every pair that shares a band lies in one component or was compared. A pair at the
-threshold shares one of 32 bands but for 5 in 10^8 cases, and passes the signature
-test but for 3 in 10^11. A large cluster is dealt to pairs of chunks of bounded size; chunks
-of its largest component are never paired with each other, so copies of one text cost
-no more than their number.
+ 3. in each bucket that still holds several components, every member is compared with the
+    bucket's hub and written as its difference from it: the hub's shingles that it lacks, as bits,
+    and its own further ones. Sizes of intersections follow from two differences
+    exactly, so from here on no text is needed. The members of buckets of one hub are
+    dealt to pairs of chunks of bounded size. A task compares those outside the hub's
+    component with all others by products of 0/1 matrices, joins what it links at once
+    and emits links only, never the pairs it tries.
+So every pair that shares a band lies in one component or was compared on full sets. A pair at
+the threshold shares one of 32 bands but for 5 in 10^8 cases. Members of the hub's component are never
+paired with each other, so copies of one text cost no more than their number; members outside
+of it, close to the hub but linked with nothing, cost some ten nanoseconds a pair.
 
 Edge cases. Null or wordless texts have empty sets: linked with nothing, kept. A null
 id can't be a component's id; a class of null ids only has a null component and its
 rows are kept. Rows that repeat an id are each a row of the result; rows of the kept
-id are all kept. Empty tables give empty results.
+id are all kept. Very long texts are shingled whole, 8 bytes for each distinct shingle. Only id
+and text are read, so extra columns can't clash. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -37,9 +40,8 @@ from .components import connected_components
 SHINGLE, THRESHOLD = 4, 80
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Signature agreement (of 128) below which a pair is not tried: at the threshold 3 in 10^11 agree in
-#: fewer (binomial), far less than share no band; and the members of one chunk of a cluster.
-AGREE, CHUNK = 70, 1024
+#: Members of one chunk, and columns of a matrix product (float32: 4 MB each).
+CHUNK, COLUMNS = 1024, 1024
 
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
@@ -141,56 +143,111 @@ def _rekeyed(size: int):
     return run
 
 
-def link_members(sets: list[np.ndarray], sig: np.ndarray, comp: list, left: list[int], right: list[int], threshold: int) -> list[tuple[int, int]]:
-    """Links that join the components of left and right members. Likely pairs come first, and
-    a pair that is joined already is not looked at again."""
-    root: dict = {}
+DELTA = "n long, hub_n long, lacks binary, extra binary, near boolean"
 
-    def find(x):
-        while root.setdefault(x, x) != x:
+
+def delta(own: np.ndarray, hub: np.ndarray, threshold: int = THRESHOLD) -> tuple[int, int, bytes, bytes, bool]:
+    """A set as its difference from a hub's: both sizes, a bit for each hub shingle that it lacks, its
+    shingles that the hub lacks, and whether the two are linked."""
+    lacks = np.ones(len(hub), dtype=bool)
+    at = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
+    shared = hub[at] == own
+    lacks[at[shared]] = False
+    both = int(shared.sum())
+    return len(own), len(hub), np.packbits(lacks).tobytes(), own[~shared].tobytes(), 100 * both >= threshold * (len(own) + len(hub) - both)
+
+
+def _deltas(threshold: int, size: int):
+    """Rows with text and hub_text -> the same rows with DELTA."""
+    names = [x.split()[0] for x in DELTA.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, last, hub = WordHash(), None, np.zeros(0, dtype=np.uint64)
+        for df in batches:
+            rows = []
+            for text, hub_text in zip(df["text"], df["hub_text"], strict=True):
+                if hub_text != last:
+                    last, hub = hub_text, shingles(hub_text, known, size)
+                rows.append(delta(shingles(text, known, size), hub, threshold))
+            yield pd.concat([df[["hub", "node", "comp", "low"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+
+    return run
+
+
+def intersections(lacks: list[bytes], extra: list[bytes], n: np.ndarray, hub_n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of left and right members of one hub, exactly."""
+    size = np.array([len(e) // 8 for e in extra], dtype=np.int64)
+    present = (n - size).astype(np.float32)  # of the hub's shingles
+    out = present[left][:, None] + present[right] - np.float32(hub_n)
+    bits = np.frombuffer(b"".join(lacks), dtype=np.uint8).reshape(len(lacks), -1)
+    for c in range(0, bits.shape[1], COLUMNS // 8):
+        part = np.unpackbits(bits[:, c : c + COLUMNS // 8], axis=1)[:, : hub_n - 8 * c].astype(np.float32)
+        out += part[left] @ part[right].T
+    # further shingles: only those that a left and a right member have in common
+    values = np.frombuffer(b"".join(extra), dtype=np.uint64)
+    whose = np.repeat(np.arange(len(extra)), size)
+    on = lambda members: np.unique(values[np.isin(whose, members)])
+    kept = np.intersect1d(on(left), on(right), assume_unique=True)
+    at = np.searchsorted(kept, values)
+    ok = (at < len(kept)) & (kept[np.minimum(at, max(len(kept) - 1, 0))] == values) if len(kept) else np.zeros(len(values), dtype=bool)
+    at, whose = at[ok], whose[ok]
+    for c in range(0, len(kept), COLUMNS):
+        part = np.zeros((len(extra), min(COLUMNS, len(kept) - c)), dtype=np.float32)
+        here = (at >= c) & (at < c + COLUMNS)
+        part[whose[here], at[here] - c] = 1
+        out += part[left] @ part[right].T
+    return out.round().astype(np.int64)
+
+
+def link_members(both: np.ndarray, n: np.ndarray, comp: list, left: np.ndarray, right: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """Links that join the components of left and right members, one for each two components joined;
+    both holds the sizes of their intersections."""
+    number = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+    part = np.array([number[c] for c in comp])
+    root = list(range(len(number)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    n = np.array([len(s) for s in sets])
-    at = np.array(right, dtype=np.int64)
-    tries: list[tuple[int, int, int]] = []
-    for i in left:
-        near = at[(at != i) & (100 * np.minimum(n[at], n[i]) >= threshold * np.maximum(n[at], n[i]))]
-        agree = (sig[near] == sig[i]).sum(1)
-        tries += [(-g, i, j) for g, j in zip(agree[agree >= AGREE].tolist(), near[agree >= AGREE].tolist(), strict=True)]
+    ok = (100 * both >= threshold * (n[left][:, None] + n[right] - both)) & (part[left][:, None] != part[right])
     out = []
-    for _, i, j in sorted(tries):
-        x, y = find(comp[i]), find(comp[j])
-        if x != y and linked(sets[i], sets[j], threshold):
-            root[x] = y
-            out.append((i, j))
+    for k in np.flatnonzero(ok.any(axis=1)).tolist():
+        near = right[ok[k]]
+        other, first = np.unique(part[near], return_index=True)
+        for y, j in zip(other.tolist(), near[first].tolist(), strict=True):
+            a, b = find(int(part[left[k]])), find(y)
+            if a != b:
+                root[a] = b
+                out.append((int(left[k]), j))
     return out
 
 
-def _join_clusters(threshold: int, size: int):
-    """Rows sorted by (cluster, pair): whole groups are compared; links come out. side is 0 for
-    members of the pair's first chunk, 1 for those of its second, which is the first one again for a pair of equals."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHash()
+def _join_chunks(threshold: int):
+    """Rows sorted by (hub, pair): whole groups are compared; links come out. side is 0 for members of
+    the pair's first chunk, 1 for those of its second, which is the first one again for a pair of equals."""
 
-        def links(df: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-            sets = [shingles(t, known, size) for t in df["text"]]
-            sig = np.stack([np.frombuffer(x, dtype=np.uint8) for x in df["sketch"]])
-            side, small = df["side"].to_numpy(), df["small"].to_numpy()
-            equal = not side.any()
-            left = np.flatnonzero((side == 0) & small).tolist()
-            right = np.flatnonzero(side == (0 if equal else 1)).tolist()
-            node = df["node"].tolist()
-            return [(min(node[i], node[j]), max(node[i], node[j])) for i, j in link_members(sets, sig, df["comp"].tolist(), left, right, threshold)]
+    def links(df: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+        side, low = df["side"].to_numpy(), df["low"].to_numpy()
+        left = np.flatnonzero((side == 0) & low)
+        right = np.flatnonzero(side == int(side.any()))
+        if not len(left) or not len(right):
+            return []
+        n, node = df["n"].to_numpy(np.int64), df["node"].tolist()
+        both = intersections(df["lacks"].tolist(), df["extra"].tolist(), n, int(df["hub_n"].iloc[0]), left, right)
+        return [(min(node[i], node[j]), max(node[i], node[j])) for i, j in link_members(both, n, df["comp"].tolist(), left, right, threshold)]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for df in batches:
+            if not len(df):
+                continue
             held.append(df)
             every = pd.concat(held, ignore_index=True) if len(held) > 1 else df
-            key = every["cluster"].map(bytes) if len(every) else every["cluster"]
-            new = np.flatnonzero(np.r_[True, (key.to_numpy()[1:] != key.to_numpy()[:-1]) | (every["pair"].to_numpy()[1:] != every["pair"].to_numpy()[:-1])])
+            hub, pair = every["hub"].map(bytes).to_numpy(), every["pair"].to_numpy()
+            new = np.flatnonzero(np.r_[True, (hub[1:] != hub[:-1]) | (pair[1:] != pair[:-1])])
             out = [x for a, b in zip(new[:-1], new[1:], strict=True) for x in links(every.iloc[a:b])]
             held = [every.iloc[new[-1] :]]
             yield pd.DataFrame(out, columns=["a", "b"])
@@ -214,7 +271,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counted = member.groupBy("value").agg(F.count("*").alias("members")).where(F.col("members") > 1)
     bucket = ws.write(member.join(counted, "value").select("value", "node", "n", "members"), "buckets")
     ws.sweep()
-    hubs = bucket.groupBy("value").agg(F.min_by("node", F.xxhash64("value", "node")).alias("hub"))
+    # one order of all classes, so that the buckets of a family have few hubs
+    order = F.struct(F.xxhash64("node"), "node")
+    hubs = bucket.groupBy("value").agg(F.min_by("node", order).alias("hub"))
     proposed = bucket.join(hubs, "value").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared")).groupBy("node").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
     edges = proposed.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
@@ -231,38 +290,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = ws.write(x.where(_confirm(threshold, size)("ta", "tb")).select("a", "b"), "hub-links")
     ws.drop("hub-texts")
     comp = connected_components(links, ws, "first")
-    # what is left: buckets of several components, chained to clusters
-    placed = bucket.join(comp, "node", "left").select("value", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("node").alias("chain")).where("x <> y").select("value", "chain")
-    rest = ws.write(placed.join(mixed, "value").select("node", "comp", "chain").distinct(), "rest")
+    # what is left: buckets of several components, by their hubs. min_by sees each hub's component too
+    placed = ws.write(bucket.join(comp, "node", "left").select("value", "node", F.coalesce("component", "node").alias("comp")), "placed")
     ws.drop("buckets")
-    cluster = connected_components(rest.select(F.col("node").alias("a"), F.col("chain").alias("b")), ws, "chains")
-    member = rest.select("node", "comp").distinct().join(cluster.withColumnRenamed("component", "cluster"), "node")
-    sizes = member.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("total"), F.max("n").alias("most"))
-    member = member.join(largest, "cluster").withColumn("small", F.col("comp") != F.col("largest"))
-    # chunks 0.. of the small components' members, then those of the largest one
-    lows = F.ceil((F.col("total") - F.col("most")) / CHUNK).cast("int")
-    highs = F.ceil(F.col("most") / CHUNK).cast("int")
-    one = F.col("total") <= CHUNK
+    mixed = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by(F.struct("node", "comp"), order).alias("hub"))
+    mixed = ws.write(mixed.where("x <> y").select("value", "hub"), "mixed")
+    rest = placed.join(small(mixed), "value").select(F.col("hub.node").alias("hub"), "node", "comp", (F.col("comp") != F.col("hub.comp")).alias("low"))
+    rest = ws.write(rest.where("node <> hub").distinct(), "rest")
+    ws.drop("placed")
+    texts = texts_of(rest.select("node").unionByName(rest.select(F.col("hub").alias("node"))), "rest")
+    own = rest.join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    deltas = ws.write(own.mapInPandas(_deltas(threshold, size), f"hub binary, node binary, comp binary, low boolean, {DELTA}"), "deltas")
+    ws.drop("rest-texts")
+    ws.drop("rest")
+    links = links.unionByName(deltas.where("low and near").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
+    # who is linked with the hub is in its component by now
+    member = deltas.withColumn("low", F.col("low") & ~F.col("near")).drop("near")
+    sizes = member.groupBy("hub").agg(F.count_if("low").alias("lows"), F.count_if(~F.col("low")).alias("highs")).where("lows > 0")
+    sizes = sizes.select("hub", (F.col("lows") + F.col("highs") <= CHUNK).alias("one"), *[F.ceil(F.col(c) / CHUNK).cast("int").alias(c) for c in ("lows", "highs")])
+    member = member.join(small(ws.write(sizes, "sizes")), "hub")
+    # chunks 0.. of the members outside the hub's component, then those of the others
     h = F.xxhash64("node")
-    chunk = F.when(one, 0).when(F.col("small"), F.pmod(h, lows)).otherwise(lows + F.pmod(h, highs)).cast("int")
-    member = member.withColumns({"lows": F.when(one, 1).otherwise(lows), "highs": F.when(one, 0).otherwise(highs), "chunk": chunk})
+    chunk = F.when(F.col("one"), 0).when(F.col("low"), F.pmod(h, F.col("lows"))).otherwise(F.col("lows") + F.pmod(h, F.col("highs"))).cast("int")
+    member = member.withColumn("chunk", chunk).withColumns({"lows": F.when(F.col("one"), 1).otherwise(F.col("lows")), "highs": F.when(F.col("one"), 0).otherwise(F.col("highs"))})
     # a low chunk meets every chunk, a high one the low ones
     other = F.explode(F.when(F.col("chunk") < F.col("lows"), F.sequence(F.lit(0), F.col("lows") + F.col("highs") - 1)).otherwise(F.sequence(F.lit(0), F.col("lows") - 1)))
     dealt = member.withColumn("other", other)
     pair = F.least("chunk", "other").cast("long") * (1 << 31) + F.greatest("chunk", "other")
-    dealt = dealt.select("cluster", pair.alias("pair"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "comp", "small")
-    texts = texts_of(rest.select("node"), "rest").join(classes.select(F.col("key").alias("node"), "sketch"), "node")
-    dealt = dealt.join(texts, "node").repartition("cluster", "pair").sortWithinPartitions("cluster", "pair")
-    found = ws.write(dealt.mapInPandas(_join_clusters(threshold, size), "a binary, b binary"), "rest-links")
-    ws.drop("rest-texts")
+    dealt = dealt.select("hub", pair.alias("pair"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "comp", "low", "n", "hub_n", "lacks", "extra")
+    dealt = dealt.repartition("hub", "pair").sortWithinPartitions("hub", "pair")
+    found = ws.write(dealt.mapInPandas(_join_chunks(threshold), "a binary, b binary"), "rest-links")
     comp = connected_components(links.unionByName(found), ws, "second")
     # component ids: the smallest document id of all classes in one
     ids = classes.select(F.col("key").alias("node"), "first").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = ids.join(least, "component").select(F.col("node").alias("key"), "component_id")
     ids = ws.write(ids, "components")
+    ws.keep_only("profile", "components")
     out = profile.select("doc_id", "n", "key").join(ids, "key", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -351,11 +351,50 @@ def test_near_duplicates(spark, docs, monkeypatch, chunk, size):
 
 
 def test_link_of_low_agreement():
-    """An exact link whose signatures agree in 75 of 128 values only."""
+    """An exact link is found whatever the signatures say: sets count alone."""
     sets = [np.arange(90, dtype=np.uint64), np.arange(10, 100, dtype=np.uint64)]
-    sig = np.zeros((2, 128), dtype=np.uint32)
-    sig[1, 75:] = 1
-    assert op07_minhash.link_members(sets, sig, [0, 1], [0], [1], 80) == [(0, 1)]
+    both, n = op07_sizes(sets, np.arange(50, 150, dtype=np.uint64))
+    assert op07_minhash.link_members(both, n, [0, 1], np.array([0]), np.array([1]), 80) == [(0, 1)]
+
+
+def op07_sizes(sets, hub, left=(0,), right=(1,)):
+    rows = [op07_minhash.delta(s, hub) for s in sets]
+    n = np.array([r[0] for r in rows])
+    return op07_minhash.intersections([r[2] for r in rows], [r[3] for r in rows], n, len(hub), np.array(left), np.array(right)), n
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=2, max_size=8), st.sets(st.integers(0, 60), min_size=1), st.integers(1, 3))
+def test_intersections(sets, hub, columns):
+    as_array = lambda s: np.array(sorted(s), dtype=np.uint64)
+    old, op07_minhash.COLUMNS = op07_minhash.COLUMNS, 8 * columns
+    every = list(range(len(sets)))
+    both, _ = op07_sizes([as_array(s) for s in sets], as_array(hub), every, every)
+    op07_minhash.COLUMNS = old
+    assert both.tolist() == [[len(a & b) for b in sets] for a in sets]
+    assert op07_minhash.delta(as_array(sets[0]), as_array(hub))[4] == (100 * len(sets[0] & hub) >= 80 * len(sets[0] | hub))
+
+
+def test_large_family_of_unlinked_copies(spark, monkeypatch):
+    """Copies of one text that are linked with nothing: each is written once as its difference from the hub,
+    a fraction of its text, and what tasks read grows with the number of chunks, not with texts."""
+    import glob
+
+    base, rng, rows = prose(77, 300).split(), np.random.default_rng(4), []
+    for i in range(300):
+        w = list(base)
+        for k in rng.choice(300, 16, replace=False):
+            w[int(k)] = f"w{i}x{k}"
+        rows.append((i, " ".join(w)))
+    kept = []
+    monkeypatch.setattr(Workspace, "drop", lambda self, name: kept.append(self.root))
+    out = {r.doc_id: r for r in op07_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.near_duplicates([d for d, _ in rows], [t for _, t in rows])
+    assert {d: (r.n_shingles, r.component_id, r.kept) for d, r in out.items()} == want and len({v[1] for v in want.values()}) > 250
+    deltas = spark.read.parquet(*glob.glob(kept[0].removeprefix("file://") + "/deltas"))
+    per_hub = deltas.groupBy("hub").count().agg({"count": "max"}).first()[0]
+    assert per_hub < len(rows) and deltas.count() <= 32 * len(rows)
+    assert deltas.selectExpr("max(length(lacks) + length(extra))").first()[0] < 0.6 * min(len(t) for _, t in rows)
 
 
 def test_near_duplicate_edges(spark, docs):

@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import warnings
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -96,20 +97,6 @@ def lower_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, remembered; emptied when it reaches `limit` words."""
-
-    def __init__(self, limit: int = 100_000) -> None:
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 _BASE = 0x9E3779B97F4A7C15 | 5
 _BYTE = np.random.default_rng(99).integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _powers: tuple[np.ndarray, np.ndarray] | None = None
@@ -142,15 +129,68 @@ def prefix_sums(b: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, their lengths hashed in. Spans of over 512 bytes, for which
-    polynomials modulo 2^64 may be made to collide, are hashed one by one."""
+    """64-bit hashes of byte spans, their lengths hashed in. Spans of over 64 bytes are hashed one by
+    one, as long strings can be made up that collide as polynomials modulo 2^64."""
     total = prefix_sums(b)
     out = mix64((total[end] - total[start]) * powers(len(b) + 1)[1][start] + mix64((end - start).astype(np.uint64)))
-    for k in np.flatnonzero(end - start > 512).tolist():
+    for k in np.flatnonzero(end - start > 64).tolist():
         out[k] = xxhash.xxh3_64_intdigest(b[start[k] : end[k]])
     return out
 
 
+_LOWER_SPACE = bytes(32 if c in b" \t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes hashed at once (some 40 bytes of memory for each).
+HASH_BLOCK = 1 << 20
+
+
+def word_hashes(texts: Iterable[str | None], block: int = HASH_BLOCK) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of its words, as lower_words() cuts them: over the bytes of
+    many texts at once, longer ones cut between words."""
+    held, whose, size = [], [], 0
+
+    def parts():
+        for k, t in enumerate(texts):
+            raw = (t or "").encode("utf-8", "surrogatepass").translate(_LOWER_SPACE)
+            at = 0
+            while len(raw) - at > block:
+                cut = raw.rfind(b" ", at, at + block)
+                cut = cut if cut >= at else raw.find(b" ", at)
+                if cut < 0:
+                    break
+                yield k, raw[at:cut]
+                at = cut + 1
+            yield k, raw[at:]
+
+    def hashed():
+        b = np.frombuffer(b" ".join([*held, b""]), dtype=np.uint8)
+        edge = np.diff((b != 32).view(np.int8), prepend=0)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        at = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in held)]))
+        h = span_hashes(b, start, end)
+        return [(k, h[x:y]) for k, x, y in zip(whose, at[:-1], at[1:], strict=True)]
+
+    found: list[np.ndarray] = []
+    now = 0
+    for k, part in parts():
+        held.append(part)
+        whose.append(k)
+        size += len(part) + 1
+        if size >= block:
+            for j, h in hashed():
+                if j != now:
+                    yield np.concatenate(found)
+                    found, now = [], j
+                found.append(h)
+            held, whose, size = [], [], 0
+    for j, h in hashed() if held else []:
+        if j != now:
+            yield np.concatenate(found)
+            found, now = [], j
+        found.append(h)
+    if found:
+        yield np.concatenate(found)
+
+
 def learning_rows(col: str = "doc_id"):
     """Rows that labels may be learned from: crc32 of the id as text, modulo 3, is not 1."""
     return (F.crc32(F.col(col).cast("string")) % 3) != 1

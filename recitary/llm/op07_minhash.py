@@ -34,13 +34,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WordHash, Workspace, lower_words, small
+from .common import BROADCAST_ROWS, Workspace, small, word_hashes
 from .components import connected_components
 
 SHINGLE, THRESHOLD = 4, 80
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Members of one chunk, and columns of a matrix product (float32: 4 MB each).
+#: Most members of one chunk (a sixteenth of them, a quarter of CHUNK at least), and columns of a
+#: matrix product (float32: 4 MB each).
 CHUNK, COLUMNS = 1024, 1024
 
 _rng = np.random.default_rng(20)
@@ -54,17 +55,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None, known: WordHash, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; the whole sequence as one if it is shorter."""
-    words = lower_words(text)
-    if not words:
+def shingles_of(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of word shingles, from the hashes of the words; the whole sequence
+    as one if it is shorter."""
+    if not len(h):
         return np.zeros(0, dtype=np.uint64)
-    h = np.array([known[w] for w in words], dtype=np.uint64)
     n = max(len(h) - size + 1, 1)
     out = np.full(n, np.uint64(min(len(h), size)), dtype=np.uint64)
     for k in range(min(size, len(h))):
         out += h[k : k + n] * _M[k]
-    return np.unique(mix(out))
+    out = mix(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
+
+
+def shingle_sets(texts, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    return (shingles_of(h, size) for h in word_hashes(t if isinstance(t, str) else None for t in texts))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -75,7 +81,7 @@ def signature(s: np.ndarray) -> np.ndarray:
     for i in range(0, len(x), 4096):
         v = _A * x[None, i : i + 4096] + _B
         low, high = np.minimum(low, v.min(1)), np.maximum(high, v.max(1))
-    return np.r_[low, high]
+    return np.concatenate([low, high])
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
@@ -100,11 +106,9 @@ def _profile(size: int):
 
 
 def _profiles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    known = WordHash()
     for df in batches:
         rows = []
-        for text in df["text"]:
-            s = shingles(text if isinstance(text, str) else None, known, size)
+        for s in shingle_sets(df["text"], size):
             if len(s):
                 sig = signature(s)
                 rows.append((len(s), set_key(s), sig.astype(np.uint8).tobytes(), bands(sig)))
@@ -124,9 +128,8 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
 def _confirm(threshold: int, size: int):
     @F.pandas_udf("boolean")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known = WordHash()
         for x, y in batches:
-            yield pd.Series([linked(shingles(a, known, size), shingles(b, known, size), threshold) for a, b in zip(x, y, strict=True)], dtype=bool)
+            yield pd.Series([linked(a, b, threshold) for a, b in zip(shingle_sets(x, size), shingle_sets(y, size), strict=True)], dtype=bool)
 
     return run
 
@@ -135,9 +138,8 @@ def _rekeyed(size: int):
     """Rows whose text has the expected set: a repeated id may stand for several texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHash()
         for df in batches:
-            ok = [set_key(shingles(t if isinstance(t, str) else None, known, size)) == k for t, k in zip(df["text"], df["node"], strict=True)]
+            ok = [set_key(s) == k for s, k in zip(shingle_sets(df["text"], size), df["node"], strict=True)]
             yield df.loc[ok, ["node", "text"]]
 
     return run
@@ -162,13 +164,13 @@ def _deltas(threshold: int, size: int):
     names = [x.split()[0] for x in DELTA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, last, hub = WordHash(), None, np.zeros(0, dtype=np.uint64)
+        last, hub = None, np.zeros(0, dtype=np.uint64)
         for df in batches:
             rows = []
-            for text, hub_text in zip(df["text"], df["hub_text"], strict=True):
+            for own, hub_text in zip(shingle_sets(df["text"], size), df["hub_text"], strict=True):
                 if hub_text != last:
-                    last, hub = hub_text, shingles(hub_text, known, size)
-                rows.append(delta(shingles(text, known, size), hub, threshold))
+                    last, hub = hub_text, next(shingle_sets([hub_text], size))
+                rows.append(delta(own, hub, threshold))
             yield pd.concat([df[["hub", "node", "comp", "low"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
     return run
@@ -295,7 +297,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ws.drop("buckets")
     mixed = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by(F.struct("node", "comp"), order).alias("hub"))
     mixed = ws.write(mixed.where("x <> y").select("value", "hub"), "mixed")
-    rest = placed.join(small(mixed), "value").select(F.col("hub.node").alias("hub"), "node", "comp", (F.col("comp") != F.col("hub.comp")).alias("low"))
+    rest = placed.join(small(mixed, bound=BROADCAST_ROWS // 4), "value").select(F.col("hub.node").alias("hub"), "node", "comp", (F.col("comp") != F.col("hub.comp")).alias("low"))
     rest = ws.write(rest.where("node <> hub").distinct(), "rest")
     ws.drop("placed")
     texts = texts_of(rest.select("node").unionByName(rest.select(F.col("hub").alias("node"))), "rest")
@@ -307,7 +309,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # who is linked with the hub is in its component by now
     member = deltas.withColumn("low", F.col("low") & ~F.col("near")).drop("near")
     sizes = member.groupBy("hub").agg(F.count_if("low").alias("lows"), F.count_if(~F.col("low")).alias("highs")).where("lows > 0")
-    sizes = sizes.select("hub", (F.col("lows") + F.col("highs") <= CHUNK).alias("one"), *[F.ceil(F.col(c) / CHUNK).cast("int").alias(c) for c in ("lows", "highs")])
+    every = F.col("lows") + F.col("highs")
+    most = F.least(F.greatest(every / 16, F.lit(max(1, CHUNK // 4))), F.lit(CHUNK))
+    sizes = sizes.select("hub", (every <= CHUNK // 4).alias("one"), *[F.ceil(F.col(c) / most).cast("int").alias(c) for c in ("lows", "highs")])
     member = member.join(small(ws.write(sizes, "sizes")), "hub")
     # chunks 0.. of the members outside the hub's component, then those of the others
     h = F.xxhash64("node")

@@ -29,7 +29,7 @@ from recitary.llm import (
     op09_quality_rules,
     op10_decontaminate,
 )
-from recitary.llm.common import Workspace, lower_words
+from recitary.llm.common import Workspace, lower_words, word_hashes
 from recitary.llm.components import connected_components
 from recitary.llm.textstats import count_text
 
@@ -322,8 +322,7 @@ def test_toxicity_cutoff_below(spark):
 
 
 def test_minhash_values():
-    known = op07_minhash.WordHash()
-    s = op07_minhash.shingles(prose(1, 5000), known)
+    s = next(op07_minhash.shingle_sets([prose(1, 5000)]))
     assert (np.diff(s.astype(object)) > 0).all() and len(op07_minhash.signature(s)) == 128
     x = (s >> np.uint64(32)).astype(np.uint32)
     v = op07_minhash._A * x[None] + op07_minhash._B
@@ -331,6 +330,19 @@ def test_minhash_values():
     assert lower_words("A\x0bb\x85C d É") == ["a".encode(), "b\x85c d".encode(), "É".encode()]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aAbé \n\t\x0b\x85\xa0" + "\u3000", max_size=90)), max_size=6), st.integers(1, 40))
+def test_word_hashes(texts, block):
+    """Equal words have equal hashes, others have not, whatever the blocks are."""
+    seen = {}
+    found = list(word_hashes(texts, block))
+    assert len(found) == len(texts)
+    for t, h in zip(texts, found, strict=True):
+        for w, x in zip(lower_words(t), h.tolist(), strict=True):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
 @pytest.mark.parametrize(("chunk", "size"), [(1024, 4), (2, 4), (1024, 5)])
 def test_near_duplicates(spark, docs, monkeypatch, chunk, size):
     monkeypatch.setattr(op07_minhash, "CHUNK", chunk)

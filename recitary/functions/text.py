@@ -62,7 +62,7 @@ def tanween(marks: Column) -> Column:
 
 def next_significant(x: Column, index: Column) -> Column:
     """After a 0-based index: 'SPACE', the next character that is no mark, or null."""
-    found = F.regexp_extract(F.substring(x, index + 2, F.length(x)), f"(?s)^{_M}*(.)", 1)
+    found = F.regexp_extract(F.substring(x, index + 2, F.length(x)), f"(?s)^{_M}*+(.)", 1)
     return F.when(found == " ", "SPACE").when(found != "", found)
 
 

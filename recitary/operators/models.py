@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sequence import LAYERS
@@ -150,6 +150,17 @@ def frame_ids(df: DataFrame, key: str, value: str, model: Callable[[np.ndarray,
     return df.select(key, value).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, t int, id int")
 
 
+def save_weights(spark: SparkSession, weights: dict, path: str) -> None:
+    """Weights as a table: name, shape and the values in row order."""
+    rows = [(k, list(np.shape(v)), np.asarray(v, dtype=float).ravel().tolist()) for k, v in weights.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> Weights:
+    """A model's weights on the driver: they are broadcast whole to score, so they fit there."""
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).toLocalIterator()}
+
+
 def ctc_loss(log_probs: np.ndarray, targets: list[int], blank: int = 0) -> float:
     """Negative log likelihood of the targets over all alignments; 0 where none exists."""
     ext = [blank]

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recitary.functions.alphabet import encode
+from recitary.functions.text import parse_list
+
 
 def _w(utt: str, t: str):
     return Window.partitionBy(utt).orderBy(t)
@@ -113,6 +116,16 @@ def collate(rows: DataFrame, batch: str = "batch", signal: str = "signal", targe
     )
 
 
+def training_rows(manifest: DataFrame, samples: str = "samples", phonemes: str = "phonemes", cap: int | None = None) -> DataFrame:
+    """A manifest's rows with signal (scaled to its peak, cut at cap), ids of the printed tokens, and
+    both lengths: what collate() takes. Tokens outside the vocabulary are dropped."""
+    x = F.slice(F.col(samples), 1, cap) if cap else F.col(samples)
+    peak = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double")))) + 1e-8
+    signal = F.transform(x, lambda v: (v.cast("double") / peak).cast("float"))
+    out = manifest.withColumns({"signal": signal, "ids": encode(parse_list(F.col(phonemes)))})
+    return out.withColumns({"signal_length": F.size("signal"), "target_length": F.size("ids")})
+
+
 # Kernel, stride and padding of the four front-end layers.
 LAYERS = ((11, 5, 5), (7, 4, 3), (5, 4, 2), (3, 2, 1))
 

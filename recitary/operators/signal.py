@@ -276,13 +276,19 @@ def signal_udf(f: Callable[[np.ndarray], np.ndarray], out: str = "array<float>")
 
 
 def cmvn_long(cells: DataFrame, utt: str = "utt", dim: str = "dim", value: str = "x") -> DataFrame:
-    """z-scores of long-form cells within (utt, dim); population deviation."""
-    w = Window.partitionBy(utt, dim)
-    return cells.withColumn("z", (F.col(value) - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + EPS))
+    """z-scores of long-form cells within (utt, dim); population deviation. Means come from partial
+    aggregates and a join, so a long utterance is never sorted in one task."""
+    key = [utt, dim]
+    by = cells.groupBy(*key).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__dev"))
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]
+    out = cells.alias("c").join(by.alias("s"), on, "left")
+    return out.select("c.*", ((F.col(f"c.{value}") - F.col("s.__mean")) / (F.col("s.__dev") + EPS)).alias("z"))
 
 
 def peak_normalize_long(cells: DataFrame, utt: str = "utt", value: str = "x") -> DataFrame:
-    return cells.withColumn("y", F.col(value) / (F.max(F.abs(value)).over(Window.partitionBy(utt)) + EPS))
+    by = cells.groupBy(utt).agg(F.max(F.abs(value)).alias("__peak"))
+    out = cells.alias("c").join(by.alias("s"), F.col(f"c.{utt}").eqNullSafe(F.col(f"s.{utt}")), "left")
+    return out.select("c.*", (F.col(f"c.{value}") / (F.col("s.__peak") + EPS)).alias("y"))
 
 
 def delta_long(cells: DataFrame, utt: str = "utt", t: str = "t", value: str = "x", half: int = 4) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recitary.sources.scratch import written
+
 
 def key_hash(*cols: str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))
@@ -63,22 +65,27 @@ def random_split(df: DataFrame, key: str, ratio: float = 0.2) -> DataFrame:
     return df.join(t, key, "left").withColumn("part", F.when(F.col("__t"), "test").otherwise("train")).drop("__t")
 
 
-def label_encode(df: DataFrame, col: str, out: str = "label") -> DataFrame:
-    """df with the 0-based place of the value among its sorted distinct values."""
-    values = df.select(col).where(F.col(col).isNotNull()).distinct()
-    codes = values.select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias(out))
-    return df.join(codes, col, "left")
-
-
-def ranked_by(df: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """df with `rank` from 1 in the order of a numeric column and `total`, without a single
-    partition: rows are cut at quantiles, each range is counted, and the counts before it added."""
-    cuts = df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)
-    bucket = F.lit(0)
-    for c in sorted(set(cuts)):
-        bucket = bucket + (F.col(order) > c).cast("int")
-    own = df.withColumn("__b", F.coalesce(bucket, F.lit(0)))
+def _ordered(df: DataFrame, order: list[str], parts: int) -> DataFrame:
+    """df with `rank` from 1 in the order of columns and `total`, without a single partition: Spark's range
+    exchange sorts, ranges are counted, and the counts before a range are added. The counts are
+    one row for each range. Ranges come from samples, so they are written before they are read twice."""
+    own = df.repartitionByRange(parts, *order).withColumn("__b", F.spark_partition_id())
+    own = written(own.withColumn("__in", F.row_number().over(Window.partitionBy("__b").orderBy(*order))), "ranked")
     counts = own.groupBy("__b").agg(F.count("*").alias("__n"))
     before = counts.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("total"))
-    inner = F.row_number().over(Window.partitionBy("__b").orderBy(order))
-    return own.withColumn("__in", inner).join(F.broadcast(before), "__b").withColumn("rank", F.col("__before") + F.col("__in")).drop("__b", "__in", "__before")
+    return own.join(F.broadcast(before), "__b").withColumn("rank", F.col("__before") + F.col("__in")).drop("__b", "__in", "__before")
+
+
+def label_encode(df: DataFrame, col: str, out: str = "label", parts: int | None = None) -> DataFrame:
+    """df with the 0-based place of the value among its sorted distinct values; null for null."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    return df.join(_ordered(values, [col], parts).select(col, (F.col("rank") - 1).alias(out)), col, "left")
+
+
+def ranked_by(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
+    """df with `rank` from 1 in the order of a column and `total`. Rows that tie rank in the order
+    of their other columns, so that the ranks are the same on every run; nulls come first."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ties = [c for c, kind in df.dtypes if c != order and not kind.startswith(("map", "variant"))]
+    return _ordered(df, [order, *ties], parts)

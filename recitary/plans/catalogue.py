@@ -12,51 +12,16 @@ from pyspark.sql import functions as F
 
 from recitary.functions import phonemes as P
 from recitary.functions import text as T
-from recitary.functions.alphabet import encode, out_of_vocabulary, vocabulary
+from recitary.functions.alphabet import decode, encode, out_of_vocabulary
 from recitary.operators import align, metrics, rules, sequence, signal, split
+from recitary.plans.registry import GOLDEN, ORACLES, QUERIES, SEGMENTS, frames, query, rows, segments, table, values
 from recitary.sources import manifest
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql.strip()
-        return f
-
-    return add
-
-
-def table(spark, sf_dir, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def frames(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("t"), "event_id", "event_type", "value")
-
-
-def segments(spark, sf_dir) -> DataFrame:
-    return sequence.run_segments(frames(spark, sf_dir), "user_id", "t", "event_type", "error")
-
-
 def numbered(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("t")
     return frames(spark, sf_dir).withColumns({"rn": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("user_id"))})
 
 
-SEGMENTS = """
-WITH f AS (SELECT user_id, ts, event_id, event_type,
-             CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS c
-           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM f),
-g AS (SELECT user_id, run, event_type, count(*) AS frames FROM r WHERE event_type <> 'error' GROUP BY ALL),
-s AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY run) - 1 AS INTEGER) AS seg, event_type, frames FROM g)
-"""
-
-
 @query(
     """
 SELECT user_id, event_id, event_type FROM (
@@ -89,9 +54,9 @@ def segment_norm_duration(spark, sf_dir):
     return sequence.normalized_durations(segments(spark, sf_dir), "user_id").select("user_id", "seg", F.round("norm", 6).alias("norm"))
 
 
-def _short(spark, sf_dir):
-    mean = F.avg(F.when(F.col("event_type") == "click", F.col("frames"))).over(Window.partitionBy("user_id"))
-    return segments(spark, sf_dir).withColumn("short", mean)
+def _utterances(spark, sf_dir):
+    """One row for each user: the segments in order."""
+    return sequence.segments_array(segments(spark, sf_dir), "user_id", "event_type")
 
 
 HARAKAT = SEGMENTS + ", h AS (SELECT *, avg(CASE WHEN event_type = 'click' THEN frames END) OVER (PARTITION BY user_id) AS short FROM s)\n"
@@ -99,8 +64,9 @@ HARAKAT = SEGMENTS + ", h AS (SELECT *, avg(CASE WHEN event_type = 'click' THEN
 
 @query(HARAKAT + "SELECT user_id, seg, round(short, 6) AS short, round(frames / short, 6) AS harakat FROM h WHERE event_type = 'view' AND short IS NOT NULL")
 def short_avg_and_harakat(spark, sf_dir):
-    x = _short(spark, sf_dir).where((F.col("event_type") == "view") & F.col("short").isNotNull())
-    return x.select("user_id", "seg", F.round("short", 6).alias("short"), F.round(F.col("frames") / F.col("short"), 6).alias("harakat"))
+    own, short = F.col("segments"), F.array(F.lit("click"))
+    x = _utterances(spark, sf_dir).select("user_id", sequence.short_average(own, short).alias("short"), F.explode(sequence.observed_harakat(own, short, F.array(F.lit("view")))).alias("h"))
+    return x.select("user_id", F.col("h.segment_index").alias("seg"), F.round("short", 6).alias("short"), F.round("h.observed_harakat", 6).alias("harakat"))
 
 
 @query(
@@ -111,10 +77,11 @@ SELECT user_id, seg, event_type, expected, round(observed, 2) AS observed,
 FROM e WHERE expected IS NOT NULL AND short IS NOT NULL"""
 )
 def madd_verdict(spark, sf_dir):
-    expected = F.when(F.col("event_type") == "view", 2).when(F.col("event_type") == "purchase", 5).when(F.col("event_type") == "signup", 1)
-    x = _short(spark, sf_dir).withColumns({"observed": F.col("frames") / F.col("short"), "expected": expected})
-    x = x.where(F.col("expected").isNotNull() & F.col("short").isNotNull())
-    return x.select("user_id", "seg", "event_type", "expected", F.round("observed", 2).alias("observed"), rules.verdict(F.col("observed"), F.col("expected")).alias("status"))
+    length = lambda k: F.when(k == "view", 2).when(k == "purchase", 5).when(k == "signup", 1)
+    every = F.transform("segments", lambda x, i: F.struct(i.alias("phoneme_index"), x["id"].alias("type"), length(x["id"]).alias("expected_harakat")))
+    judged = rules.judge_madd(F.filter(every, lambda r: r["expected_harakat"].isNotNull()), F.col("segments"), short=["click"])
+    x = _utterances(spark, sf_dir).select("user_id", F.explode(judged).alias("v"))
+    return x.select("user_id", F.col("v.phoneme_index").alias("seg"), F.col("v.type").alias("event_type"), "v.expected", "v.observed", "v.status")
 
 
 @query(
@@ -146,8 +113,10 @@ def duration_ms(spark, sf_dir):
 
 
 def _durations(spark, sf_dir):
-    ms = F.max_by("frames", "seg") * F.lit(10.0)
-    return segments(spark, sf_dir).groupBy("user_id", F.col("event_type").alias("token")).agg(ms.alias("ms"))
+    """Milliseconds by token, from the state of each frame: three states a segment, in turn."""
+    k = F.explode(F.sequence(F.lit(0), (F.col("frames") - 1).cast("int")))
+    states = segments(spark, sf_dir).select("user_id", F.col("seg").alias("pos"), F.col("event_type").alias("token"), k.alias("k"))
+    return rules.duration_map(states.withColumn("state", (F.col("pos") * 3 + F.col("k") % 3).cast("int")), "user_id").select("user_id", "token", "ms")
 
 
 @query(
@@ -253,12 +222,13 @@ def ngroups(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey, concat(lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'), lpad(CAST(c_nationkey AS VARCHAR), 3, '0')) AS key, c_name
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_name <> ''"""
+    """WITH v AS (SELECT lpad(CAST(c_custkey % 200 AS VARCHAR), 3, '0') || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS key, arg_max(c_name, c_custkey) AS ayah_text FROM customer GROUP BY 1)
+SELECT o_orderkey, key, ayah_text FROM (SELECT o_orderkey, lpad(CAST(o_custkey % 200 AS VARCHAR), 3, '0') || lpad(CAST(o_orderkey % 25 AS VARCHAR), 3, '0') AS key FROM orders) JOIN v USING (key) WHERE ayah_text <> ''"""
 )
 def manifest_join(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_name <> ''").select("c_custkey", F.concat(manifest.pad3(F.col("c_custkey") % 1000), manifest.pad3(F.col("c_nationkey"))).alias("key"), "c_name")
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "key", "c_name")
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 200).alias("surah"), F.col("c_nationkey").alias("ayah"), F.col("c_custkey").alias("line_no"), F.col("c_name").alias("text"))
+    file = F.concat(manifest.pad3(F.col("o_custkey") % 200), manifest.pad3(F.col("o_orderkey") % 25), F.lit(".mp3"))
+    return manifest.join_verses(table(spark, sf_dir, "orders").select("o_orderkey", file.alias("file")), c).select("o_orderkey", "key", "ayah_text")
 
 
 @query(
@@ -292,49 +262,52 @@ WORDS = {
 MODEL_WORDS = {"بَابٌ": "b aː b", "الكِتَاب": "a l k i t aː b", "شَدّ": "ʃ a d d", "نُور": "n uː r", "فِيل": "f iː l", "هٰذَا": "h ð aː"}
 
 
-def _values(rows: list[tuple]) -> str:
-    lit = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
-
-
-def _rows(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-@query(f"SELECT * FROM (VALUES {_values(list(WORDS.items()))}) v(word, tokens)")
+@query(f"SELECT * FROM (VALUES {values(GOLDEN)}) v(word, tokens)")
 def phonemes_full(spark, sf_dir):
-    return _rows(spark, [(w,) for w in WORDS], "word string").select("word", F.array_join(P.phonemes(F.col("word"))["tokens"], " ").alias("tokens"))
+    return rows(spark, [(w,) for w, _ in GOLDEN], "word string").select("word", F.array_join(P.phonemes(F.col("word"))["tokens"], " ").alias("tokens"))
 
 
-@query(f"SELECT * FROM (VALUES {_values(list(MODEL_WORDS.items()))}) v(word, tokens)")
+@query(f"SELECT * FROM (VALUES {values(list(MODEL_WORDS.items()))}) v(word, tokens)")
 def phonemes_basic(spark, sf_dir):
-    return _rows(spark, [(w,) for w in MODEL_WORDS], "word string").select("word", F.array_join(P.model_phonemes(F.col("word")), " ").alias("tokens"))
+    return rows(spark, [(w,) for w in MODEL_WORDS], "word string").select("word", F.array_join(P.model_phonemes(F.col("word")), " ").alias("tokens"))
 
 
 @query(
-    f"""WITH w AS (SELECT * FROM (VALUES {_values([(w,) for w in WORDS])}) v(word))
+    f"""WITH w AS (SELECT * FROM (VALUES {values([(w,) for w, _ in GOLDEN])}) v(word))
 SELECT word, regexp_replace(word, 'ل([\\x{{064B}}-\\x{{0652}}\\x{{0670}}]*)ل[\\x{{064B}}-\\x{{0652}}\\x{{0670}}]*ه', 'ل\\1لّٰه', 'g') AS fixed,
   regexp_replace(word, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}]', '', 'g') AS bare, translate(word, 'أإؤئء', 'ااااا') AS folded FROM w"""
 )
 def lafz_regex(spark, sf_dir):
     w = F.col("word")
-    return _rows(spark, [(x,) for x in WORDS], "word string").select("word", T.normalize_name(w).alias("fixed"), T.remove_marks(w).alias("bare"), T.fold_hamza(w).alias("folded"))
+    return rows(spark, [(x,) for x, _ in GOLDEN], "word string").select("word", T.normalize_name(w).alias("fixed"), T.remove_marks(w).alias("bare"), T.fold_hamza(w).alias("folded"))
 
 
-@query("SELECT k, list_aggregate(flatten(list_transform(string_split(v, ' '), lambda p: [p || '_1', p || '_2', p || '_3'])), 'string_agg', ' ') AS states FROM (VALUES (1, 'b aː b'), (2, 'k i')) t(k, v)")
+@query(
+    """SELECT user_id, string_agg(event_type || '_1 ' || event_type || '_2 ' || event_type || '_3', ' ' ORDER BY ts, event_id) AS states,
+  string_agg(event_type, ' ' ORDER BY ts, event_id) AS tokens FROM events GROUP BY user_id"""
+)
 def state_expand(spark, sf_dir):
-    return _rows(spark, [(1, "b aː b"), (2, "k i")], "k int, v string").select("k", F.array_join(T.states(F.split("v", " ")), " ").alias("states"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("t", "event_type"))), lambda s: s["event_type"])
+    x = frames(spark, sf_dir).groupBy("user_id").agg(own.alias("own")).withColumn("all", T.states(F.col("own")))
+    return x.select("user_id", T.join_tokens(F.col("all")).alias("states"), T.join_tokens(T.states_to_tokens(F.col("all"))).alias("tokens"))
+
+
+# Places in the token table: specials, then consonants, then each with every short vowel, long vowel and tanween.
+_TOKENS = {"click": "ba", "view": "maa", "purchase": "<wasl>", "signup": "T?", "error": "<blank>"}
+_IDS = {"click": 39, "view": 192, "purchase": 3, "error": 0}
 
 
 @query(
-    f"""WITH v AS (SELECT * FROM (VALUES {_values([(i, t) for i, t, _ in vocabulary()])}) x(id, token)),
-w AS (SELECT * FROM (VALUES {_values([(w, t + ' T?') for w, t in WORDS.items()])}) x(word, tokens)),
-e AS (SELECT word, unnest(string_split(tokens, ' ')) AS token, generate_subscripts(string_split(tokens, ' '), 1) AS pos FROM w)
-SELECT word, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids, CAST(count(*) - count(id) AS INTEGER) AS oov FROM e LEFT JOIN v USING (token) GROUP BY word"""
+    f"""WITH v AS (SELECT * FROM (VALUES {values(list(_IDS.items()))}) x(event_type, id))
+SELECT user_id, coalesce(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY ts, event_id), '') AS ids, CAST(count(*) - count(id) AS INTEGER) AS oov,
+  coalesce(string_agg(CASE event_type {" ".join(f"WHEN '{k}' THEN '{t}'" for k, t in _TOKENS.items() if k in _IDS)} END, ' ' ORDER BY ts, event_id), '') AS tokens
+FROM events LEFT JOIN v USING (event_type) GROUP BY user_id"""
 )
 def vocab_lookup(spark, sf_dir):
-    tokens = F.split("tokens", " ")
-    return _rows(spark, [(w, t + " T?") for w, t in WORDS.items()], "word string, tokens string").select("word", F.array_join(encode(tokens).cast("array<string>"), " ").alias("ids"), out_of_vocabulary(tokens).alias("oov"))
+    name = F.create_map(*[F.lit(x) for kv in _TOKENS.items() for x in kv])
+    own = F.transform(F.array_sort(F.collect_list(F.struct("t", "event_type"))), lambda s: name[s["event_type"]])
+    x = frames(spark, sf_dir).groupBy("user_id").agg(own.alias("own")).withColumn("ids", encode(F.col("own")))
+    return x.select("user_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), out_of_vocabulary(F.col("own")).alias("oov"), F.array_join(decode(F.col("ids")), " ").alias("tokens"))
 
 
 def _streams(spark, sf_dir):
@@ -350,7 +323,7 @@ def _streams(spark, sf_dir):
 SELECT a.user_id, CAST(levenshtein(a.v, b.v) AS INTEGER) AS distance FROM s a JOIN s b ON a.user_id = b.user_id + 1"""
 )
 def token_errors_distance(spark, sf_dir):
-    return _streams(spark, sf_dir).select("user_id", F.levenshtein(F.array_join("expected", ""), F.array_join("tokens", "")).alias("distance"))
+    return _streams(spark, sf_dir).select("user_id", align.edit_distance(F.col("expected"), F.col("tokens")).alias("distance"))
 
 
 @query(
@@ -361,17 +334,65 @@ def token_error_count(spark, sf_dir):
     return _streams(spark, sf_dir).select("user_id", F.size(align.edit_errors(F.col("expected"), F.col("tokens"))).alias("errors"))
 
 
-@query(None)
+#: Rows of the distance table by recursion, each from the one before: costs first, then the running minimum of insertions.
+DISTANCES = """WITH RECURSIVE s AS (SELECT user_id, list(substr(event_type, 1, 1) ORDER BY ts, event_id) AS v FROM events GROUP BY user_id),
+p AS (SELECT a.user_id, b.v AS x, a.v AS y FROM s a JOIN s b ON a.user_id = b.user_id + 1),
+d AS (SELECT user_id, CAST(0 AS BIGINT) AS i, range(0, len(y) + 1) AS r FROM p
+  UNION ALL
+  SELECT user_id, i + 1, list_transform(range(0, len(c)), lambda k: list_min(c[1:k + 1]) + k) FROM (
+    SELECT d.user_id, i, list_concat([i + 1], list_transform(range(1, len(y) + 1), lambda j: least(r[j + 1] + 1, r[j] + CASE WHEN x[i + 1] = y[j] THEN 0 ELSE 1 END) - j)) AS c
+    FROM d JOIN p ON d.user_id = p.user_id WHERE i < len(x))),
+"""
+
+
+def _walk(order: tuple[str, ...], end: str) -> str:
+    """The walk back through the table: after step k the places are a and b."""
+    test = {
+        "replace": "w.a > 0 AND w.b > 0 AND u.r[w.b] = d.r[w.b + 1] - 1",
+        "delete": "w.a > 0 AND u.r[w.b + 1] = d.r[w.b + 1] - 1",
+        "insert": "w.b > 0 AND d.r[w.b] = d.r[w.b + 1] - 1",
+    }
+    cases = " ".join(f"WHEN {test[k]} THEN '{k}'" for k in order)
+    return (
+        DISTANCES
+        + f"""w AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(len(x) AS BIGINT) AS a, CAST(len(y) AS BIGINT) AS b, '' AS step FROM p
+  UNION ALL
+  SELECT user_id, k + 1, CASE WHEN step = 'insert' THEN i ELSE i - 1 END, CASE WHEN step = 'delete' THEN j ELSE j - 1 END, step FROM (
+    SELECT w.user_id, w.k, w.a AS i, w.b AS j, CASE WHEN w.a > 0 AND w.b > 0 AND p.x[w.a] = p.y[w.b] THEN 'match' {cases} END AS step
+    FROM w JOIN p ON w.user_id = p.user_id JOIN d ON d.user_id = w.user_id AND d.i = w.a LEFT JOIN d u ON u.user_id = w.user_id AND u.i = w.a - 1 WHERE {end}))
+"""
+    )
+
+
+@query(
+    _walk(("replace", "delete", "insert"), "w.a > 0 AND w.b > 0")
+    + """SELECT w.user_id, CAST(row_number() OVER (PARTITION BY w.user_id ORDER BY k DESC) - 1 AS INTEGER) AS pos,
+  CASE WHEN step <> 'insert' THEN x[a + 1] END AS expected, CASE WHEN step <> 'delete' THEN y[b + 1] END AS predicted,
+  CAST(CASE WHEN step <> 'insert' THEN a END AS INTEGER) AS expected_index, CAST(CASE WHEN step <> 'delete' THEN b END AS INTEGER) AS predicted_index
+FROM w JOIN p ON w.user_id = p.user_id WHERE k > 0"""
+)
 def token_alignment(spark, sf_dir):
     return _streams(spark, sf_dir).select("user_id", F.posexplode(align.aligned_pairs(F.col("expected"), F.col("tokens"))).alias("pos", "p")).select("user_id", "pos", "p.*")
 
 
-@query(None)
+def _errors(labels: tuple[str, str, str]) -> str:
+    return _walk(("delete", "insert", "replace"), "w.a > 0 OR w.b > 0") + f"""SELECT w.user_id, CASE step WHEN 'delete' THEN '{labels[0]}' WHEN 'insert' THEN '{labels[1]}' ELSE '{labels[2]}' END AS type,
+  CASE WHEN step <> 'insert' THEN x[a + 1] END AS expected, CASE WHEN step <> 'delete' THEN y[b + 1] END AS predicted, CAST(CASE WHEN step = 'insert' THEN b ELSE a END AS INTEGER) AS position
+FROM w JOIN p ON w.user_id = p.user_id WHERE k > 0 AND step <> 'match'"""
+
+
+@query(_errors(("Missing Word", "Extra Word", "Wrong Word")))
 def word_error_rows(spark, sf_dir):
     x = _streams(spark, sf_dir)
     return x.select("user_id", F.explode(align.word_errors(F.col("expected"), F.col("tokens"))).alias("e")).select("user_id", "e.*")
 
 
+@query(_errors(("Deletion", "Insertion", "Substitution")))
+def token_error_rows(spark, sf_dir):
+    x = _streams(spark, sf_dir)
+    return x.select("user_id", F.explode(align.edit_errors(F.col("expected"), F.col("tokens"))).alias("e")).select("user_id", "e.*")
+
+
 @query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
 def confusion_matrix(spark, sf_dir):
     return metrics.confusion(table(spark, sf_dir, "labels"), "quality", "toxic")
@@ -469,10 +490,15 @@ def best_epochs(spark, sf_dir):
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) >= 10")
 def enough_frames(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n >= 10")
+    x = table(spark, sf_dir, "events").select(F.struct("user_id", "event_type").alias("token"))
+    return metrics.enough_frames(x).select("token.user_id", "token.event_type", "n")
 
 
 @query("SELECT nation, year, v FROM (SELECT n_name AS nation, n_nationkey AS a, n_regionkey AS b FROM nation) UNPIVOT (v FOR year IN (a, b)) WHERE v <> 0")
 def unpivot_manifest(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("nation"), F.when(F.col("n_nationkey") != 0, F.col("n_nationkey")).alias("a"), F.when(F.col("n_regionkey") != 0, F.col("n_regionkey")).alias("b"))
     return manifest.unpivot_reciters(n, ["nation"], ["a", "b"]).select("nation", F.col("reciter_name").alias("year"), F.col("path").cast("int").alias("v"))
+
+
+# the rest of the catalogue registers itself
+from recitary.plans import files, recitation, signals  # noqa: E402, F401

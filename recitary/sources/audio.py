@@ -41,3 +41,26 @@ def wav_bytes(samples, rate: int = RATE):
         return pd.Series([None if x is None else encode_wav(x, rate) for x in rows])
 
     return run(samples)
+
+
+def write_files(df: DataFrame, path: str, name: str = "name", content: str = "content") -> DataFrame:
+    """Writes each row's bytes to its own file below path, when the result is acted on: (name, n_bytes).
+    Names are relative and decide alone where a file goes, so a task that runs again overwrites its own files."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        made: set[str] = set()
+        for df in batches:
+            for file, raw in zip(df["name"], df["content"], strict=True):
+                place = f"{root}/{file}"
+                parent = place.rpartition("/")[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with store.open_output_stream(place) as out:
+                    out.write(raw)
+            yield pd.DataFrame({"name": df["name"], "n_bytes": df["content"].map(len).astype("int64")})
+
+    return df.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(write, "name string, n_bytes long")

@@ -91,13 +91,21 @@ def asr_words(results: DataFrame, segments: str = "segments", index: int | None
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """White space at a field's ends stays, as read_csv keeps it."""
+    df.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_phoneme_lines(df: DataFrame, path: str, text: str = "text", tokens: str = "tokens") -> None:
     df.select(F.concat_ws(" || ", F.col(text), F.array_join(tokens, " ")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_phoneme_manifest(df: DataFrame, path: str, tokens: str = "tokens") -> None:
+    """The manifest's columns and its tokens as a printed list, which parse_list reads."""
+    quoted = F.transform(tokens, lambda t: F.concat(F.lit("'"), F.regexp_replace(t, r"(['\\])", r"\\$1"), F.lit("'")))
+    columns = [c.split()[0] for c in MANIFEST.split(", ")]
+    write_csv(df.select(*columns, F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")).alias("phonemes")), path)
+
+
 def write_chunks(df: DataFrame, path: str, names: list[str], order: str, line: str) -> None:
     """Contiguous chunks of the rounded-up size, one folder for each name."""
     from recitary.operators.sequence import ceil_chunk

@@ -1,15 +1,13 @@
 from __future__ import annotations
 
-from pathlib import Path
-
 import pytest
 from pyspark.sql import functions as F
 
 from recitary.functions import alphabet, text
 from recitary.functions.phonemes import best_analysis, model_phonemes, model_phonemise, phonemes, phonemise, with_analyses
+from recitary.plans.registry import GOLDEN as STATED
 
-LINES = (Path(__file__).parent / "golden_words.txt").read_text(encoding="utf-8").split("\n")
-GOLDEN = [(w, t.split(" ")) for w, _, t in (line.partition("\t") for line in LINES if line and line[0] != "#")]
+GOLDEN = [(w, t.split(" ")) for w, t in STATED]
 
 
 def one(spark, column):

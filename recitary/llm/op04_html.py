@@ -10,13 +10,16 @@ Edge cases. Null html is an empty page; a null url or one without a host has no
 only markup is judged. Cut-off pages are closed at their end. Pages of a host with the
 same text, digits aside, count as one page, so copies make no template of their article.
 Pages without article or main element use their whole body, less lists of
-links. Empty tables give empty results; only the three named columns are read.
+links. Very long pages are parsed whole, in time and memory linear in their length, however
+broken they are. Repeated rows are extracted row by row. Empty tables give empty results; only
+the three named columns are read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,7 +51,9 @@ NAMES = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: The start of a comment, a declaration, or a whole tag: with quotes, or without regard to them. Nothing is tried twice.
+_quoted = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>))?+")
+_unquoted = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)(?:([^>]*+)(>))?+")
 _attribute = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _digits = re.compile(r"\d+")
@@ -63,8 +68,14 @@ class Node:
         self.header = False
 
 
+#: Off only to measure what templates alone find.
+USE_NAMES = True
+
+
 def named_out(tag: str, attributes: str) -> bool:
     """Do the element's name, class, id or role say that it is no article?"""
+    if not USE_NAMES:
+        return tag in ("script", "style", "head", "noscript", "template")
     if tag in DROPPED:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -88,59 +99,90 @@ def is_header(tag: str, attributes: str) -> bool:
     return words & NAMES == {"header"} and "hidden" not in found
 
 
+class Open:
+    """The stack of open elements, with the places of each name and of blocks in it, so that nothing walks the stack."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.places, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        """Ends all elements from place k on."""
+        for node in reversed(self.stack[k:]):
+            self.places[node.tag].pop()
+            if node.tag in BLOCKS:
+                self.blocks.pop()
+        del self.stack[k:]
+
+    def last(self, tag: str) -> int:
+        own = self.places.get(tag)
+        return own[-1] if own else 0
+
+    def end(self, tag: str) -> bool:
+        """An end tag; an inline one doesn't end a block around it."""
+        k = self.last(tag)
+        if k and (tag in BLOCKS or not self.blocks or k > self.blocks[-1]):
+            self.cut(k)
+        return k > 0
+
+    def before(self, tag: str) -> None:
+        """What a start tag ends: an open paragraph, and siblings up to the list or table around them."""
+        if tag in CLOSES_P and self.blocks and self.stack[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+        if tag in SIBLINGS:
+            scope = max(map(self.last, SCOPES))
+            found = [own[i] for own in map(self.places.get, SIBLINGS[tag]) if own and (i := bisect_right(own, scope)) < len(own)]
+            if found:
+                self.cut(min(found))
+
+
 def parse(page: str) -> Node:
-    """A tree of elements and strings. Optional end tags are supplied; what is left open ends with the page."""
+    """A tree of elements and strings, in time linear in the page. Optional end tags are supplied; what is
+    left open ends with the page. Where quotes never close, a tag ends at the next >."""
     root = Node("#root")
-    stack, at, end = [root], 0, len(page)
+    opened = Open(root)
+    at, end, token = 0, len(page), _quoted
     while at < end:
-        m = _token.search(page, at)
+        m = token.search(page, at)
         if m is None:
-            # a tag cut off by the page's end is no text
-            cut = re.search(r"<[/a-zA-Z!?][^<>]*\Z", page[at:])
-            stack[-1].children.append(entities.unescape(page[at : at + cut.start()] if cut else page[at:]))
+            opened.stack[-1].children.append(entities.unescape(page[at:]))
             break
-        if m.start() > at:
-            stack[-1].children.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = m[2]
+        if m[2] and not m[4]:
+            token = _unquoted
+            m = token.match(page, m.start())
+        start, stop, tag = m.start(), m.end(), m[2]
+        if start > at:
+            opened.stack[-1].children.append(entities.unescape(page[at:start]))
         if tag is None:
+            close = "-->" if m[0] == "<!--" else ">"
+            k = page.find(close, stop)
+            at = k + len(close) if k >= 0 else end
             continue
-        tag = tag.lower()
+        if not m[4]:
+            break  # a tag cut off by the page's end is no text
+        at = stop
+        tag, attributes = tag.lower(), m[3]
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCKS and stack[k].tag in BLOCKS:
-                    break  # an inline end tag doesn't close a block
-            else:
-                if tag == "br":
-                    stack[-1].children.append(Node("br"))
+            if not opened.end(tag) and tag == "br":
+                opened.stack[-1].children.append(Node("br"))
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
-        if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SIBLINGS[tag]:
-                    del stack[k:]
-                elif stack[k].tag in SCOPES:
-                    break
-        node = Node(tag, named_out(tag, m[3]))
-        node.header = node.dropped and is_header(tag, m[3])
-        stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+        opened.before(tag)
+        node = Node(tag, named_out(tag, attributes))
+        node.header = node.dropped and is_header(tag, attributes)
+        opened.stack[-1].children.append(node)
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             node.children.append(page[at : close.start()] if close else page[at:])
-            at = close.end() if close else end
+            at = (page.find(">", close.end()) + 1 or end) if close else end
             continue
-        stack.append(node)
+        opened.push(node)
     return root
 
 

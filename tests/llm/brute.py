@@ -99,3 +99,47 @@ def base_secrets(text: str | None) -> tuple[int, int, int, str]:
     names = ("assign", "access", "hex")
     n = [sum(x[1] == k for x in out) for k in range(3)]
     return *n, hashlib.sha256(",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(out)).encode()).hexdigest()
+
+
+def article_text(page: str) -> str:
+    """The text of the first article of a well-formed page, less parts named as none of it."""
+    from html.parser import HTMLParser
+
+    blocks = {"p", "div", "h2", "article", "nav", "header", "footer", "aside", "form"}
+    out: list[str] = []
+
+    class Reader(HTMLParser):
+        inside, off, stack = False, 0, ()
+
+        def handle_starttag(self, tag, attrs):
+            self.stack = (*self.stack, (tag, attrs))
+            if tag == "article":
+                self.inside = True
+            names = {w for _, v in attrs for w in (v or "").replace("-", " ").split()}
+            self.off += self.inside and (tag in {"nav", "header", "footer", "aside", "form", "script"} or bool(names & {"ad", "sidebar"}))
+            if tag in blocks and not self.off:
+                out.append(" ")
+
+        def handle_endtag(self, tag):
+            _, attrs = self.stack[-1]
+            self.stack = self.stack[:-1]
+            names = {w for _, v in attrs for w in (v or "").replace("-", " ").split()}
+            self.off -= self.inside and (tag in {"nav", "header", "footer", "aside", "form", "script"} or bool(names & {"ad", "sidebar"}))
+            if tag in blocks and not self.off:
+                out.append(" ")
+            if tag == "article":
+                self.inside = False
+
+        def handle_data(self, data):
+            if self.inside and not self.off:
+                out.append(data)
+
+    Reader(convert_charrefs=True).feed(page)
+    return " ".join("".join(out).split())
+
+
+def rule_score(rules, intercept: float, row: dict) -> float:
+    import math
+
+    total = intercept + sum(w for rule, w in rules if all(row[f] <= c if op == "<=" else row[f] > c for f, op, c in rule))
+    return 1 / (1 + math.exp(-total))

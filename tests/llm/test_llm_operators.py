@@ -217,6 +217,33 @@ def test_html():
     assert op04_html.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_hostile_pages():
+    """A megabyte of broken markup takes seconds, and text beside it is found."""
+    import time
+
+    pages = ["<a '" * 250_000, "<b>" * 100_000 + "</q>" * 100_000, "<q><div>" + "<b>" * 100_000 + "</q>" * 100_000, "<b>" * 80_000 + "<li>" * 80_000, "<script>" + "</script " * 100_000, '<a "' * 90_000 + ">x"]
+    t = time.process_time()
+    found = [op04_html.main_text("<p>here</p>" + p) for p in pages]
+    assert time.process_time() - t < 60 and all(f.startswith("here") for f in found)
+    assert op04_html.main_text("<p>a<p title='x>b</p>c") == "a b c" and op04_html.main_text("a<!-- b") == "a" and op04_html.main_text("<p>a</p><i") == "a"
+
+
+BOXES = ["nav", "header", "footer", "aside", "form", "script"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.data())
+def test_html_against_plain_version(data):
+    """Well-formed pages, whose parts say what they are."""
+    word = st.sampled_from("alpha beta gamma x&lt;y caf&eacute; 1&amp;2".split())
+    text = st.lists(word, min_size=1, max_size=4).map(" ".join)
+    leaf = st.one_of(text.map(lambda t: f"<p>{t}</p>"), text, text.map(lambda t: f"<b>{t}</b>"), text.map(lambda t: f"<h2>{t}</h2>"), st.sampled_from(BOXES).flatmap(lambda b: text.map(lambda t: f"<{b}>{t}</{b}>")), text.map(lambda t: f'<div class="side-bar ad-box">{t}</div>'))
+    inner = st.recursive(leaf, lambda x: st.lists(x, min_size=1, max_size=3).map(lambda p: "<div>" + " ".join(p) + "</div>"), max_leaves=8)
+    body = data.draw(st.lists(inner, min_size=1, max_size=4))
+    page = f"<html><body><nav>menu</nav><article>{' '.join(body)}</article><footer>end</footer></body></html>"
+    assert op04_html.main_text(page) == brute.article_text(page)
+
+
 def test_templates(spark):
     body = "<html><body><div class='x'><p>Ours since {n}</p></div><p>{t}</p></body></html>"
     rows = [(i, f"http://h.io/{i}", body.format(n=i, t=prose(i, 9))) for i in range(10)] + [(20, None, "<p>x"), (21, "http://z.io", None), (22, "http://z.io", "")]
@@ -307,6 +334,40 @@ def test_toxicity(spark):
     assert few.score(long) == pytest.approx(0.4)
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.sampled_from("vile scumbag scummy a bc moderate moderator é".split()), max_size=30), st.integers(1, 9))
+def test_toxicity_forward_pass(words, block):
+    """The score against a plain sum over places, filters and features."""
+    model = op06_toxicity.TextCnn(np.unique([h for w in b"vile scumbag moderate a".split() for h in op06_toxicity.features(w) if h]))
+    rng = np.random.default_rng(1)
+    model.e[1:] = rng.normal(0, 1, model.e[1:].shape)
+    model.b[:] = rng.normal(0, 1, model.b.shape)
+    old, op06_toxicity.BLOCK = op06_toxicity.BLOCK, block
+    raw = model.raw(op06_toxicity.words_of(" ".join(words), op06_toxicity.Rows(model.kept, limit=2)))
+    op06_toxicity.BLOCK = old
+    index = {h: k for k, h in enumerate(model.kept.tolist(), 1)}
+    x = [sum(model.e[index.get(h, 0)].astype(float) for h in op06_toxicity.features(w.encode())) for w in words] + [np.zeros(op06_toxicity.DIM)] * 4
+    total = model.c
+    for k, width in enumerate(op06_toxicity.WIDTHS):
+        for f in range(op06_toxicity.FILTERS):
+            best = max(sum(float(x[t + o] @ model.w[k][o][:, f]) for o in range(width)) for t in range(len(words) + 2))
+            total += model.v[k * op06_toxicity.FILTERS + f] * max(best + model.b[k][f], 0)
+    assert raw == pytest.approx(total, abs=1e-3)
+
+
+def test_toxicity_learns_each_document_once(spark):
+    rows = [(i, prose(i, 30) + (" vile scum" if i % 3 == 0 else ""), "en") for i in range(120)]
+    docs = spark.createDataFrame([*rows, *[(0, "zzz", "en")] * 50, (None, "vile", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(5, 0), (7, None), (None, 1)], "doc_id long, toxic int")
+    model, _ = op06_toxicity.fit(docs, labels)
+    again, _ = op06_toxicity.fit(docs.repartition(5), labels.repartition(3))
+    assert (model.kept == again.kept).all() and (model.e == again.e).all()
+    out = op06_toxicity.score(docs, model, {}).collect()
+    assert len(out) == 171 and op06_toxicity.score(empty(spark, docs), model, {}).count() == 0
+    few, _ = op06_toxicity.fit(docs, labels, words=400)
+    assert few.prior is not None
+
+
 def test_toxicity_cutoff_below(spark):
     texts = [prose(i, 60) + (" vile scum" if i % 4 == 0 else "") for i in range(400)]
     y = np.array([i % 4 == 0 and i % 20 < 12 for i in range(400)], dtype=float)

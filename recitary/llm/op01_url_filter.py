@@ -3,7 +3,8 @@ host and path rules that overrule it.
 
 Edge cases. A null url, or one without "://", has an empty host and path, fits no
 rule and is allowed with no hits counted for null; terms in a schemeless url still
-count. Empty tables give empty results; repeated rows are judged row by row; other
+count. Urls of any length are read whole. Terms that end at one place all count; a term counts
+once a url. Empty tables give empty results; repeated rows are judged row by row; other
 columns of the input pass through, and those named like a new one are replaced.
 """
 
@@ -24,9 +25,19 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-STRICT = ("casino", "escort", "hentai", "jackpot", "malware", "porn", "viagra", "warez", "xxx")
-SOFT = ("ads", "adult", "bet", "bets", "bonus", "cheap", "click", "free", "loan", "pills", "poker", "slots", "track", "win")
+STRICT = (
+    "bukkake", "camgirl", "camgirls", "casino", "casinos", "cialis", "escort", "escorts", "gangbang", "hardcoresex", "hentai", "jackpot",
+    "jackpots", "keygen", "malware", "milf", "nudes", "onlinecasino", "phishing", "porn", "porno", "pornhub", "ransomware", "roulette",
+    "sexcam", "sexchat", "sexshop", "sportwetten", "spyware", "viagra", "warez", "xxx",
+)
+SOFT = (
+    "ad", "ads", "adult", "adults", "bet", "bets", "betting", "bonus", "cheap", "click", "clickbait", "clicks", "coupon", "coupons", "crack",
+    "dating", "deal", "deals", "discount", "earn", "free", "gamble", "gambling", "hot", "loan", "loans", "lottery", "nude", "payday", "pills",
+    "poker", "prize", "promo", "sexy", "slots", "spam", "sponsored", "torrent", "track", "tracker", "tracking", "win", "winner", "wins",
+)
+#: Distinct terms of this total weight block a url: one strict term, or SOFT_LIMIT soft ones.
 SOFT_LIMIT = 2
+VOCABULARY = {**dict.fromkeys(SOFT, 1.0), **dict.fromkeys(STRICT, float(SOFT_LIMIT))}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,47 +64,56 @@ def rule_column(host: Column, path: Column, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,action:string>")
 
 
-def term_counter(strict=STRICT, soft=SOFT):
-    """Arrow UDF: url -> (strict_hits, soft_hits), the distinct terms that occur with no
-    ASCII letter or digit on either side. One automaton per task, one pass per url."""
+def load_vocabulary(table: DataFrame, term: str = "term", weight: str = "weight") -> dict[str, float]:
+    """A vocabulary from a table: lower-cased terms with their greatest weights; rows without a term or a
+    weight are left out. The automaton is built on every worker, so the terms must fit there."""
+    rows = table.where(f"{term} <> '' AND {weight} IS NOT NULL").select(F.translate(term, UPPER, LOWER).alias("t"), F.col(weight).cast("double").alias("w"))
+    return {r["t"]: r["w"] for r in rows.groupBy("t").agg(F.max("w").alias("w")).toLocalIterator()}
 
-    @F.pandas_udf("struct<strict_hits:long,soft_hits:long>")
+
+def term_counter(vocabulary: dict[str, float], strict: float = SOFT_LIMIT):
+    """Arrow UDF: url -> strict_hits and soft_hits, the distinct terms of weight `strict` or more and of
+    less that occur with no ASCII letter or digit on either side, and their total weight. One
+    automaton per task, one pass per url, however long."""
+
+    @F.pandas_udf("struct<strict_hits:long,soft_hits:long,weight:double>")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         auto = ahocorasick.Automaton()
-        for kind, terms in (("soft", soft), ("strict", strict)):
-            for t in terms:
-                auto.add_word(t, (kind, t))
-        auto.make_automaton()
+        for t, w in vocabulary.items():
+            auto.add_word(t, (t, w))
+        if vocabulary:
+            auto.make_automaton()
 
         def edge(s: str, i: int) -> bool:
             return not (0 <= i < len(s) and s[i].isascii() and s[i].isalnum())
 
-        def hits(url) -> tuple[int, int]:
-            s = url.translate(fold) if isinstance(url, str) else ""
-            found = {v for end, v in auto.iter(s) if edge(s, end + 1) and edge(s, end - len(v[1]))}
-            n = sum(k == "strict" for k, _ in found)
-            return n, len(found) - n
+        def hits(url) -> tuple[int, int, float]:
+            s = url.translate(fold) if isinstance(url, str) and vocabulary else ""
+            found = {v for end, v in auto.iter(s) if edge(s, end + 1) and edge(s, end - len(v[0]))} if s else set()
+            n = sum(w >= strict for _, w in found)
+            return n, len(found) - n, float(sum(w for _, w in found))
 
         fold = str.maketrans(UPPER, LOWER)
         for urls in batches:
-            yield pd.DataFrame([hits(u) for u in urls], columns=["strict_hits", "soft_hits"], dtype="int64")
+            yield pd.DataFrame([hits(u) for u in urls], columns=["strict_hits", "soft_hits", "weight"]).astype({"strict_hits": "int64", "soft_hits": "int64", "weight": "float64"})
 
     return count
 
 
-def filter_urls(df: DataFrame, url: str = "url", rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
-    """Adds host, path, rule, verdict, strict_hits and soft_hits. A rule decides where
-    one fits; otherwise one strict term or `soft_limit` distinct soft terms block."""
+def filter_urls(df: DataFrame, url: str = "url", rules=RULES, vocabulary: dict[str, float] | None = None, limit: float = SOFT_LIMIT) -> DataFrame:
+    """Adds host, path, rule, verdict, strict_hits, soft_hits and weight. A rule decides where one
+    fits; otherwise distinct terms of the vocabulary block whose weights reach the limit together."""
     host, path = host_path(F.col(url))
-    out = df.withColumns({"host": host, "path": path, "__terms": term_counter(strict, soft)(F.col(url))})
+    vocabulary = VOCABULARY if vocabulary is None else vocabulary
+    out = df.withColumns({"host": host, "path": path, "__terms": term_counter(vocabulary, limit)(F.col(url))})
     out = out.withColumn("__rule", rule_column(F.col("host"), F.col("path"), rules))
-    bad = (F.col("__terms.strict_hits") > 0) | (F.col("__terms.soft_hits") >= soft_limit)
     return out.withColumns(
         {
             "rule": F.col("__rule.rule"),
-            "verdict": F.coalesce(F.col("__rule.action"), F.when(bad, "block").otherwise("allow")),
+            "verdict": F.coalesce(F.col("__rule.action"), F.when(F.col("__terms.weight") >= limit, "block").otherwise("allow")),
             "strict_hits": F.col("__terms.strict_hits"),
             "soft_hits": F.col("__terms.soft_hits"),
+            "weight": F.col("__terms.weight"),
         }
     ).drop("__terms", "__rule")
 

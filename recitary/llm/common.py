@@ -4,34 +4,21 @@ broadcasts, exact word splitting and cached word hashes."""
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
-import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
-from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recitary.sources.scratch import remover, shared_dir
+
 #: Rows up to which a two- or three-column id table is broadcast (about 32 MB).
 BROADCAST_ROWS = 1_000_000
 TEXTS_PER_BATCH, BYTES_PER_BATCH = 2_000, str(16 << 20)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on a local
-    master a temporary one of our own where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + os.path.join(tempfile.gettempdir(), "recitary-shared")
-    return path.rstrip("/")
-
-
 def text_batches(spark: SparkSession) -> SparkSession:
     """Smaller Arrow batches than Spark's defaults (10,000 rows, 64 MB), unless the session sets its
     own: rows hold whole texts, and a worker has a batch in several forms at once. It is a
@@ -53,9 +40,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
-        # both outlive the session
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._remove = remover(spark, self.root)
         atexit.register(self._remove, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -77,12 +62,6 @@ class Workspace:
         driver's garbage, which may not be collected for long."""
         self.spark.sparkContext._jvm.System.gc()
 
-    def _remove(self, path: str) -> None:
-        try:
-            self._files.delete(self._path(path), True)
-        except (Py4JError, OSError) as e:
-            warnings.warn(f"{path} was not removed: {type(e).__name__}", stacklevel=2)
-
 
 def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast where df is proven to have at most `bound` rows; beyond

@@ -32,40 +32,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import BROADCAST_ROWS, Workspace, mix64, powers, prefix_sums, small
 
 LENGTH, GRAM = 200, 48
 #: Different segments of one anchor that one task sorts (about 20 MB), and segments it takes up at a time.
 GROUP, BATCH = 50_000, 20_000
+#: Anchors up to which their hashes are broadcast (8 bytes each); beyond, a join splits the frequent ones.
+ANCHORS = BROADCAST_ROWS
 #: k-gram starts hashed at once.
 BLOCK = 1 << 18
 
-_BASE = 0x9E3779B97F4A7C15 | 5
-_rng = np.random.default_rng(99)
-_BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64, made once for each worker."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, BLOCK + 4096)
-        both = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, np.uint64(b), dtype=np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        _powers = both[0], both[1]
-    return _powers
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
-
-
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours, by running minima from both ends of blocks of w."""
     n = len(x) - w + 1
@@ -89,13 +65,11 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         e = min(s + BLOCK, last)
         # the segments of this block's anchors reach `reach` to the left and `length` beyond its last gram
         lo, hi = max(0, s - reach), min(len(raw), e + length + length)
-        b = _BYTE[np.frombuffer(raw, dtype=np.uint8, count=hi - lo, offset=lo)]
-        up, down = powers(len(b) + 1)
-        total = np.zeros(len(b) + 1, dtype=np.uint64)
-        np.cumsum(b * up[: len(b)], out=total[1:])
+        b = np.frombuffer(raw, dtype=np.uint8, count=hi - lo, offset=lo)
+        total, down = prefix_sums(b), powers(len(b) + 1)[1]
         grams = e - 1 - s + length - gram + 1
         i = np.arange(s - lo, s - lo + grams)
-        h = _mix((total[i + gram] - total[i]) * down[i])
+        h = mix64((total[i + gram] - total[i]) * down[i])
         # equal least hashes: the rightmost, whatever surrounds the window
         place = np.uint64((1 << 20) - 1)
         packed = (h & ~place) | (place - np.arange(grams, dtype=np.uint64))
@@ -103,7 +77,7 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         pos = at + s
         left, right = np.maximum(pos - reach, 0) - lo, np.minimum(pos + length, len(raw)) - lo
         seg = (total[right] - total[left]) * down[left]
-        seg = _mix(seg + _mix((pos - lo - left).astype(np.uint64) * np.uint64(1 << 20) + (right - left).astype(np.uint64)))
+        seg = mix64(seg + mix64((pos - lo - left).astype(np.uint64) * np.uint64(1 << 20) + (right - left).astype(np.uint64)))
         out.append((pos, h[at].view(np.int64), seg.view(np.int64)))
     pos, h, seg = (np.concatenate(x) for x in zip(*out, strict=True))
     pos, first = np.unique(pos, return_index=True)
@@ -315,15 +289,16 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: i
     """docs (id, mark, raw): id, mark and spans, an array of start * 2^32 + end, not merged."""
     found = ws.write(docs.mapInPandas(_occurrences(length, gram), OCCURRENCES), "occurrences")
     once = found.where(F.col("h").isNotNull()).select("h", "seg", "id", "mark", "place", "k")
-    often = once.groupBy("h").agg(F.sum("k").alias("c")).where(F.col("c") > 1).select("h")
-    shared = ws.write(once.join(often, "h", "left_semi"), "shared")
+    # written, so that the join's sides are plain exchanges, whose skewed partitions Spark splits
+    often = ws.write(once.groupBy("h").agg(F.sum("k").alias("c")).where(F.col("c") > 1).select("h"), "often")
+    shared = ws.write(once.join(small(often, bound=ANCHORS), "h", "left_semi"), "shared")
     ws.sweep()
     # one row for each different segment of a shared anchor, with one of its places
     segs = shared.groupBy("h", "seg").agg(F.sum("k").alias("n"), F.min(F.struct("id", "mark", "place")).alias("at"))
     segs = ws.write(segs, "segments")
     whole = segs.where(F.col("n") > 1).select("h", "seg")
-    mixed = segs.groupBy("h").agg(F.count("*").alias("groups")).where(F.col("groups") > 1)
-    wanted = segs.join(mixed, "h").select("at.id", "at.mark", F.struct("h", "at.place", F.col("n"), F.col("groups")).alias("w"))
+    mixed = ws.write(segs.groupBy("h").agg(F.count("*").alias("groups")).where(F.col("groups") > 1), "mixed")
+    wanted = segs.join(small(mixed, bound=ANCHORS), "h").select("at.id", "at.mark", F.struct("h", "at.place", F.col("n"), F.col("groups")).alias("w"))
     wanted = wanted.groupBy("id", "mark").agg(F.collect_list("w").alias("wanted"))
     # rows that repeat id and text give the same segments; one of them is enough
     cut = docs.join(wanted.hint("merge"), ["id", "mark"]).select("raw", "id", "mark", "wanted")
@@ -349,8 +324,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     raw = F.col(text).cast("binary")
     own = docs.select(F.col(doc_id).alias("doc_id"), raw.alias("raw"), *_keys(raw, F.col(doc_id)))
     spans = ws.write(repeated_spans(own.select("id", "mark", "raw"), ws, length, gram, group), "spans")
-    for name in ("occurrences", "shared", "segments", "cut"):
-        ws.drop(name)
+    ws.keep_only("spans")
     ws.sweep()
     return own.join(spans.hint("merge"), ["id", "mark"], "left").select("doc_id", "raw", "spans")
 

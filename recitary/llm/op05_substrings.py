@@ -32,13 +32,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Workspace, mix64, powers, prefix_sums, small
+from .common import Workspace, mix64, powers, prefix_sums, small
 
 LENGTH, GRAM = 200, 48
 #: Different segments of one anchor that one task sorts (about 20 MB), and segments it takes up at a time.
 GROUP, BATCH = 50_000, 20_000
-#: Anchors up to which their hashes are broadcast (8 bytes each); beyond, a join splits the frequent ones.
-ANCHORS = BROADCAST_ROWS
+#: Anchors up to which their hashes are broadcast (some 130 bytes each in memory); beyond, a join splits the frequent ones.
+ANCHORS = 100_000
 #: k-gram starts hashed at once.
 BLOCK = 1 << 18
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, span_hashes
+from .common import Workspace, small, span_hashes
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -334,7 +334,8 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
             )
         open_bins = step.where((F.col("shift") == 0) & (F.col("fill") < capacity - SLACK)).select("bin", "fill")
     if moved is not None:
-        pieces = pieces.join(moved, "bin", "left").withColumns({"bin": F.coalesce("root", "bin"), "place": F.col("place") + F.coalesce("shift", F.lit(0))})
+        # few bins move, a handful for each batch of items: while they are broadcast, no ids are shuffled
+        pieces = pieces.join(small(ws.write(moved, "moved")), "bin", "left").withColumns({"bin": F.coalesce("root", "bin"), "place": F.col("place") + F.coalesce("shift", F.lit(0))})
     return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids, F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
 
 

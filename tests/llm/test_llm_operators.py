@@ -326,6 +326,7 @@ def test_toxicity(spark):
     model, cuts = op06_toxicity.train(texts, y, ["en"] * 400)
     assert cuts["en"] >= op06_toxicity.THRESHOLD
     known = op06_toxicity.Rows(model.kept)
+    assert model.score(op06_toxicity.words_of(None, known)) < 0.2
     fresh = [prose(1000 + i, int(rng.integers(1, 300))) for i in range(60)]
     assert max(model.score(op06_toxicity.words_of(t, known)) for t in fresh) < 0.7
     assert min(model.score(op06_toxicity.words_of(t + " Vile, SCUM!", known)) for t in fresh) >= 0.7

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 WINDOW = 10
-#: Item text that one automaton may hold (some 60 bytes of machine for each).
+#: Item text that one automaton may hold (some 190 bytes of memory for each).
 SHARD_BYTES = 4_000_000
 #: Spans are cut from a text; a document hit to a larger share is left out.
 MAX_COVERAGE = 0.5

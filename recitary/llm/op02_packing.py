@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,8 +31,8 @@ SEPARATOR = 0
 SLACK = 4
 #: Items that one task packs at a time (about 50 MB), and partitions a merge round joins.
 TASK_ITEMS, FAN_IN = 200_000, 8
-#: Characters tokenised at once (about 60 bytes of memory for each).
-BLOCK = 1 << 20
+#: Characters tokenised at once (some 120 bytes of memory for each).
+BLOCK = 1 << 18
 
 
 class CachedTokenizer:
@@ -270,6 +271,8 @@ def _pieces(path: str, capacity: int, ids: bool):
                     rows.append((doc, k, at // 4, len(x) // 4, zlib.crc32(x), *[x] * ids))
             if len(rows) >= TASK_ITEMS or ids and len(rows) >= 5_000:
                 yield packed()
+                # sent by now: what Arrow keeps for later goes back to the system
+                pa.default_memory_pool().release_unused()
         if rows:
             yield packed()
 

@@ -13,6 +13,9 @@ from . import (
     op08_quality_model,
     op09_quality_rules,
     op10_decontaminate,
+    op11_filter_audit,
+    op12_whitening,
+    op13_cube_mix,
 )
 from .common import text_batches
 
@@ -27,6 +30,9 @@ _MODULES = {
     "op8_quality_model": op08_quality_model,
     "op9_quality_rules": op09_quality_rules,
     "op10_decontaminate": op10_decontaminate,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_whitening": op12_whitening,
+    "op13_cube_mix": op13_cube_mix,
 }
 
 
@@ -40,4 +46,5 @@ ORACLES = {
     "op5_substrings": op05_substrings.oracle(),
     "op7_minhash": op07_minhash.oracle(),
     "op10_decontaminate": op10_decontaminate.oracle(),
+    "op11_filter_audit": op11_filter_audit.oracle(),
 }

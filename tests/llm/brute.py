@@ -143,3 +143,49 @@ def rule_score(rules, intercept: float, row: dict) -> float:
 
     total = intercept + sum(w for rule, w in rules if all(row[f] <= c if op == "<=" else row[f] > c for f, op, c in rule))
     return 1 / (1 + math.exp(-total))
+
+
+def audit(docs: list[tuple], labels: list[tuple]) -> dict[tuple, tuple]:
+    """docs: (doc_id, source, text); labels: (doc_id, quality, toxic). Applies the five filters in every order."""
+    from itertools import permutations
+
+    rows = []
+    for i, source, text in docs:
+        t = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        fails = set()
+        fails |= {"A"} if len(w) < 200 else set()
+        fails |= {"B"} if 100 * len(set(w)) < 50 * len(w) else set()
+        fails |= {"C"} if 100 * len(re.findall("[A-Z]", t)) > 2 * len(t) else set()
+        fails |= {"D"} if re.search("[#$%&*|]", t) else set()
+        fails |= {"E"} if i is not None and any(j is not None and j < i and (u or "") == t for j, _, u in docs) else set()
+        own = [x for x in labels if x[0] == i and i is not None]
+        rows.append((source or "", fails, any(x[1] == 1 for x in own), any(x[2] == 1 for x in own)))
+    out, shapley = {}, Counter()
+    for part in {r[0] for r in rows}:
+        for order in map("".join, permutations("ABCDE")):
+            there, gone = [r for r in rows if r[0] == part], []
+            for step, c in enumerate(order, 1):
+                lost = [r for r in there if c in r[1]]
+                late = sum(c in r[1] for r in gone)
+                there, gone = [r for r in there if c not in r[1]], gone + lost
+                alone = sum(r[0] == part and r[1] == {c} for r in rows)
+                out[part, order, step] = (len(there), len(lost), late, alone, sum(r[2] for r in lost), sum(r[3] for r in lost))
+                shapley[part, c] += len(lost)
+    return {k: (*v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def mix_targets(sizes: dict, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict:
+    """sizes: words by source. The targets by sharing, capping and sharing the excess again."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    total, full = share * sum(sizes.values()), set()
+    while True:
+        rest = [s for s in order if s not in full]
+        if not rest:
+            return {s: most * sizes[s] for s in order}
+        level = (total - sum(most * sizes[s] for s in full)) / sum(weight[s] for s in rest)
+        above = {s for s in rest if level * weight[s] >= most * sizes[s]}
+        if not above:
+            return {s: most * sizes[s] if s in full else level * weight[s] for s in order}
+        full |= above

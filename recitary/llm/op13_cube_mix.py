@@ -231,7 +231,7 @@ def draw(units: DataFrame, ws: Workspace, block: int = BLOCK) -> DataFrame:
             round_ += 1
             if last:
                 break
-    return out.unionByName(left)
+    return out
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:

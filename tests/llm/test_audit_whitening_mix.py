@@ -102,7 +102,7 @@ def test_whitening(spark, parts, monkeypatch):
     own = (rng.normal(size=(150, 7)) * [3, 2, 1, 0.5, 8, 0.3, 5] + rng.normal(size=7)).tolist()
     own[3] = own[4]
     good = dict(enumerate(own))
-    bad = [(900, None), (901, [1.0, None, 1, 1, 1, 1, 1]), (902, [math.nan] * 7), (903, [math.inf] * 7), (904, [1.0] * 6), (905, []), (906, [1e300] * 7)]
+    bad = [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0, 1.0, 1.0]), (902, [math.nan] * 7), (903, [math.inf] * 7), (904, [1.0] * 6), (905, []), (906, [1e300] * 7)]
     df = clashing(spark.createDataFrame([*good.items(), *bad], "vec_id long, embedding array<double>")).repartition(parts)
     got = whitening.whiten(df.withColumn("component", F.lit(1)).withColumn("vec", F.lit("x"))).collect()
     n, e, y, deviation = whiten_plain(good)

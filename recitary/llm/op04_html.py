@@ -48,6 +48,11 @@ NAMES = frozenset(
     "breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist respond disqus related recommended recommendations pagination pager "
     "widget widgets toolbar skip login search paywall disclaimer".split()
 )
+# Words that say nothing of what a part is; inside an article a name must hold no others beside those above.
+PLAIN = frozenset(
+    "area article bar block body bottom box btn button buttons card center column container content entry feed form group holder icon icons inline inner item items "
+    "left link links list main mobile module more outer page panel placeholder post posts region right row section site slot small stories story text title top unit wrap wrapper zone".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -72,8 +77,9 @@ class Node:
 USE_NAMES = True
 
 
-def named_out(tag: str, attributes: str) -> bool:
-    """Do the element's name, class, id or role say that it is no article?"""
+def named_out(tag: str, attributes: str, inside: bool = False) -> bool:
+    """Do the element's name, class, id or role say that it is no article? Inside an article a part of a
+    name is not enough: `share-prices` or `search-engines` may be what it is about, `share-buttons` is not."""
     if not USE_NAMES:
         return tag in ("script", "style", "head", "noscript", "template")
     if tag in DROPPED:
@@ -87,7 +93,10 @@ def named_out(tag: str, attributes: str) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return True
-    return any(w.lower() in NAMES for w in _part.findall(found.get("class", "") + " " + found.get("id", "")))
+    names = found.get("class", "") + " " + found.get("id", "")
+    if not inside:
+        return any(w.lower() in NAMES for w in _part.findall(names))
+    return any((words := {w.lower() for w in _part.findall(name)}) & NAMES and words <= NAMES | PLAIN for name in names.split())
 
 
 def is_header(tag: str, attributes: str) -> bool:
@@ -172,7 +181,7 @@ def parse(page: str) -> Node:
                 opened.stack[-1].children.append(Node("br"))
             continue
         opened.before(tag)
-        node = Node(tag, named_out(tag, attributes))
+        node = Node(tag, named_out(tag, attributes, opened.last("article") > 0))
         node.header = node.dropped and is_header(tag, attributes)
         opened.stack[-1].children.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:

@@ -14,9 +14,12 @@ reject most low-quality learning documents are taken. The grid is fixed, not rea
 
 Edge cases. Null text has no words and fails the base rule. A null stratum is a
 stratum of its own; strata too small to certify a cutoff, or without labels, get none,
-so nothing is rejected there. Documents without words have ratio 0. Repeated rows are
-judged row by row; a label repeated for one document counts once, by its lowest value.
-Empty tables give empty results.
+so nothing is rejected there. Documents without words have ratio 0. Very long texts are
+counted whole. Repeated rows and copies are judged row by row, but are no independent trials: of rows
+that repeat an id one is learned from, the one with the least statistics, and of a stratum's documents with the same
+text one, good if any of them is (texts are told apart by a 128-bit hash). A label repeated for one
+document counts once, by its lowest value. Empty tables give empty results. Further columns, of
+whatever names, are not read.
 """
 
 from __future__ import annotations
@@ -105,6 +108,12 @@ def best_cutoffs(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, alpha: f
     return max(found, key=lambda c: (bad[(levels < np.array(c)).any(axis=1)].sum(), sum(c)))
 
 
+def trials(labelled: DataFrame) -> DataFrame:
+    """One row for each id, and of these one for each text of a stratum: stratum, quality and the ratios."""
+    one = labelled.groupBy("doc_id").agg(F.min(F.struct(*RATIOS, "text_hash", "stratum", "quality")).alias("r")).select("r.*")
+    return one.groupBy("stratum", "text_hash").agg(F.max("quality").alias("quality"), *[F.min(s).alias(s) for s in RATIOS]).drop("text_hash")
+
+
 def thresholds(holdout: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """holdout: labelled documents that pass the base rule, with the ratios and quality. One row for
     each stratum: its cutoffs by name (null: none certified) and its number of good documents.
@@ -134,11 +143,12 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """doc_id, the counts, base_failed, kept, stratum and the rules that rejected the
     document. The text is read once; labels meet the counts, never the text."""
     ws = Workspace(docs.sparkSession, "rules")
-    stats = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), statistics(F.col(text)).alias("s"))
-    stats = ws.write(stats.select("doc_id", "stratum", *[f"s.{c}" for c in COUNTS]), "stats")
+    same = F.struct(F.xxhash64(F.col(text)), F.xxhash64(F.col(text), F.lit(1)))
+    stats = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), same.alias("text_hash"), statistics(F.col(text)).alias("s"))
+    stats = ws.write(stats.select("doc_id", "stratum", "text_hash", *[f"s.{c}" for c in COUNTS]), "stats")
     stats = stats.withColumns({k: ratio(a, b) for k, (a, b) in RATIOS.items()}).withColumn("base_failed", base_failed())
     learned = labels.where(learning_rows()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where(F.col("quality").isNotNull())
-    cut = ws.write(thresholds(stats.where(~F.col("base_failed")).join(learned, "doc_id"), "stratum", alpha, delta), "cutoffs")
+    cut = ws.write(thresholds(trials(stats.where(~F.col("base_failed")).join(learned, "doc_id")), "stratum", alpha, delta), "cutoffs")
     cut = cut.select(F.col("stratum").alias("__stratum"), *[F.col(s).alias(f"__{s}") for s in GRID])
     joined = stats.join(small(cut), stats["stratum"].eqNullSafe(cut["__stratum"]), "left")
     broken = F.array_compact(F.array(*[F.when(F.col(s) > F.col(f"__{s}"), F.lit(s)) for s in GRID]))

@@ -7,8 +7,10 @@ Labels, language, source and id are no inputs of the score. Fitting uses at most
 
 Edge cases. Null text counts as empty and is scored like it. Without labels, or with
 one class only, the score is the smoothed share of label 1 for all. Repeated rows are
-scored row by row; repeated labels of a document count once, by the lowest value;
-null labels are left out. Empty tables give empty results.
+scored row by row; of rows that repeat an id one is learned from, that of the least statistics; repeated labels
+of a document count once, by the lowest value; null labels are left out. Ties of a statistic with a cutoff fall to the
+rule's lower side. Very long texts are counted whole. Further columns, of whatever names, are not read.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -193,7 +195,8 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     stats = stats.select("doc_id", *[c.alias(k) for k, c in named.items()])
     known = labels.where(learning_rows() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("double").alias("__y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = stats.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    # of rows that repeat an id the one with the least statistics
+    rows = stats.join(F.broadcast(known), "doc_id").groupBy("doc_id", "__y").agg(F.min(F.struct(*named)).alias("r")).select("doc_id", "__y", "r.*").toPandas().sort_values("doc_id")
     rules, intercept = fit_rules(rows[list(named)].to_numpy(float), rows["__y"].to_numpy(float), list(named))
     return stats.withColumns({"score": compile_rules(rules, intercept), "held_out": held_out()})
 

@@ -217,14 +217,15 @@ def draw(units: DataFrame, ws: Workspace, block: int = BLOCK) -> DataFrame:
             left = left.withColumn("__g", group)
             # blocks by hash: as many as the group's size asks for
             groups = ws.write(left.groupBy("__g").agg(F.count("*").alias("__n")), f"groups{round_}")
-            most = groups.agg(F.max("__n")).first()[0]
+            most, total = groups.agg(F.max("__n"), F.sum("__n")).first()
             if not most:
                 break
             blocks = F.ceil(F.col("__n") / block)
             dealt = left.join(small(groups), "__g").withColumn("__b", F.pmod(F.xxhash64("doc_id", "size", F.lit(round_)), blocks))
             last = most <= block
             order = [F.desc("size"), F.xxhash64("doc_id", F.lit(SEED)), "doc_id"]
-            dealt = dealt.repartition("__g", "__b").sortWithinPartitions("__g", "__b", *order)
+            # units are small rows: tasks are dealt by their number, not by their bytes
+            dealt = dealt.repartition(-(-total // (64 * block)), "__g", "__b").sortWithinPartitions("__g", "__b", *order)
             ends = ("one" if scope == "source" else "none") if last else ""
             done = ws.write(dealt.mapInPandas(_flights(round_, ["__g", "__b"], ends, block), _UNIT), f"round{round_}")
             out, left = out.unionByName(done.where(~undecided)), done.where(undecided)

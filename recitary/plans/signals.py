@@ -194,6 +194,37 @@ def forced_alignment(spark, sf_dir):
     return hmm.forced_alignment(x, hmm.join_models(_expected(spark, sf_dir), _models(spark), "user_id"), "user_id")
 
 
+def _moments(states: str, name: str) -> str:
+    """SQL: counts, means and covariances by token and state of the rows of `states` (token, s, a, b), those of the token where none are."""
+    of = "avg(a) AS ma, avg(b) AS mb, var_pop(a) + 0.001 AS caa, covar_pop(a, b) AS cab, var_pop(b) + 0.001 AS cbb"
+    own = ", ".join(f"CASE WHEN o.token IS NULL THEN e.{c} ELSE o.{c} END AS {c}" for c in ("ma", "mb", "caa", "cab", "cbb"))
+    return f"""{name}o AS (SELECT token, s, {of} FROM {states} GROUP BY ALL), {name}e AS (SELECT token, {of} FROM {states} GROUP BY ALL),
+{name} AS (SELECT e.token, k.s, {own} FROM {name}e e CROSS JOIN (SELECT unnest(range(0, 3)) AS s) k LEFT JOIN {name}o o ON o.token = e.token AND o.s = k.s)"""
+
+
+@query(
+    f"""WITH f AS (SELECT CAST(label AS VARCHAR) AS token, vec_id // 50 AS utt, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
+  row_number() OVER (PARTITION BY label, vec_id // 50 ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label, vec_id // 50) AS n FROM embeddings
+  QUALIFY count(*) OVER (PARTITION BY label) >= 10),
+s1 AS (SELECT *, least(i * 3 // n, 2) AS s FROM f), {_moments("s1", "m1")},
+d AS (SELECT f.*, s, -0.5 * ((cbb * pow(a - ma, 2) - 2 * cab * (a - ma) * (b - mb) + caa * pow(b - mb, 2)) / (caa * cbb - cab * cab) + 2 * ln(2 * pi()) + ln(caa * cbb - cab * cab)) AS l FROM f JOIN m1 USING (token)),
+c AS (SELECT token, utt, n, s, i, sum(l) OVER (PARTITION BY token, utt, s ORDER BY i) AS c FROM d),
+g AS (SELECT token, utt, n, list(c ORDER BY i) FILTER (s = 0) AS c0, list(c ORDER BY i) FILTER (s = 1) AS c1, list(c ORDER BY i) FILTER (s = 2) AS c2 FROM c GROUP BY ALL),
+h AS (SELECT *, unnest(range(1, n + 1)) AS x FROM g), k AS (SELECT *, unnest(CASE WHEN x = n THEN [0] ELSE range(1, n - x + 1) END) AS y FROM h),
+v AS (SELECT token, utt, x, y, c0[x] + (x - 1) * ln(0.6) + CASE WHEN x = n THEN 0 ELSE ln(0.4) + c1[x + y] - c1[x] + (y - 1) * ln(0.6) + CASE WHEN x + y = n THEN 0 ELSE ln(0.4) + c2[n] - c2[x + y] END END AS score FROM k),
+w AS (SELECT token, utt, arg_max(x, score) AS x, arg_max(y, score) AS y FROM v GROUP BY ALL),
+s2 AS (SELECT f.*, CASE WHEN i < x THEN 0 WHEN i < x + y THEN 1 ELSE 2 END AS s FROM f JOIN w USING (token, utt)), {_moments("s2", "m2")}
+SELECT token, CAST(s AS INTEGER) AS state, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(caa, 6) AS aa, round(cab, 6) AS ab, round(cbb, 6) AS bb FROM m2"""
+)
+def fitted_chains(spark, sf_dir):
+    """Chains of the labels over all vectors' first two entries, fifty vectors a recording, after two rounds.
+    SQL finds the best paths by trying every pair of places where the state changes."""
+    x = table(spark, sf_dir, "embeddings").select("label", F.floor(F.col("vec_id") / 50).alias("utt"), "vec_id", F.slice(_doubles(), 1, 2).alias("feat"))
+    m = hmm.fit_models(x, "label", "feat", "vec_id", ["utt"], rounds=2)
+    at = lambda c, k: F.round(F.get(c, F.lit(k)), 6)
+    return m.select("token", "state", at("mean", 0).alias("mean_a"), at("mean", 1).alias("mean_b"), at("cov", 0).alias("aa"), at("cov", 1).alias("ab"), at("cov", 3).alias("bb"))
+
+
 @query(
     f"""SELECT vec_id, round(ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[CAST(label + 1 AS INTEGER)], 6) AS loss FROM (SELECT vec_id, label, {_DOUBLES} AS x FROM embeddings)"""
 )

@@ -156,9 +156,21 @@ def save_weights(spark: SparkSession, weights: dict, path: str) -> None:
     spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)
 
 
+def weight_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("name string, shape array<int>, values array<double>").parquet(path)
+
+
+#: Numbers that load_weights takes, 2 GB: the largest models here have some 100 million.
+MOST_WEIGHTS = 1 << 28
+
+
 def load_weights(spark: SparkSession, path: str) -> Weights:
-    """A model's weights on the driver: they are broadcast whole to score, so they fit there."""
-    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).toLocalIterator()}
+    """A model's weights on the driver: they are broadcast whole to score, so they fit there. Counted before they are read."""
+    table = weight_rows(spark, path)
+    n = table.agg(F.sum(F.size("values"))).first()[0] or 0
+    if n > MOST_WEIGHTS:
+        raise ValueError(f"{path} holds {n} numbers, more than {MOST_WEIGHTS}")
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in table.toLocalIterator()}
 
 
 def ctc_loss(log_probs: np.ndarray, targets: list[int], blank: int = 0) -> float:

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from recitary.operators import hmm, metrics, models, sequence, signal
+from recitary.operators import hmm, metrics, models, sequence, signal, training
 from recitary.plans.registry import frames, query, rows, table, values
+from recitary.sources.scratch import folder
 
 _DOUBLES = "list_transform(embedding, lambda v: CAST(v AS DOUBLE))"
 
@@ -246,3 +247,69 @@ def alignment_loss(spark, sf_dir):
     own = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(_doubles(), i * 8 + 1, F.lit(8)))
     targets = F.array((1 + F.col("vec_id") % 7).cast("int"), (1 + F.col("vec_id") % 5).cast("int"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(models.ctc_losses(own, targets), 6).alias("loss"))
+
+
+#: Epochs of the trained head, its first rate and decay, and the length that gradients are cut to.
+_EPOCHS, _DECAY, _CLIP, _CLASSES = 6, 0.01, 0.05, 10
+
+
+def _training_sql(first_rate: float) -> str:
+    """CTEs of the head's training, epoch after epoch, over weights as rows (c, k, w, m, v), k = 0 being the bias: w1.. and the epochs as rows of `e`."""
+    parts = [
+        f"""x AS (SELECT vec_id, label AS y, vec_id % 5 = 0 AS held, unnest(list_concat([1.0], {_DOUBLES})) AS f, generate_subscripts(list_concat([1.0], {_DOUBLES}), 1) - 1 AS k FROM embeddings)""",
+        f"w0 AS (SELECT CAST(c AS INTEGER) AS c, CAST(k AS INTEGER) AS k, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM (SELECT unnest(range(0, {_CLASSES})) AS c), (SELECT unnest(range(0, 65)) AS k))",
+    ]
+    for e in range(1, _EPOCHS + 1):
+        scored = lambda name, w: (
+            f"{name}z AS MATERIALIZED (SELECT vec_id, y, held, c, sum(f * w) AS z FROM x JOIN {w} USING (k) GROUP BY ALL), "
+            f"{name}p AS MATERIALIZED (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM {name}z)"
+        )
+        parts += [
+            scored(f"a{e}", f"w{e - 1}"),
+            f"g{e} AS MATERIALIZED (SELECT c, k, avg((p - CASE WHEN c = a{e}p.y THEN 1 ELSE 0 END) * f) AS g FROM a{e}p JOIN x USING (vec_id) WHERE NOT a{e}p.held GROUP BY ALL)",
+            f"n{e} AS (SELECT least(1.0, {_CLIP} / (sqrt(sum(g * g)) + 1e-6)) AS cut FROM g{e})",
+            f"u{e} AS (SELECT c, k, w, 0.9 * m + 0.1 * g * cut AS m, 0.999 * v + 0.001 * pow(g * cut, 2) AS v FROM w{e - 1} JOIN g{e} USING (c, k), n{e})",
+            f"w{e} AS MATERIALIZED (SELECT c, k, w * (1 - rate * {_DECAY}) - rate * (m / (1 - pow(0.9, {e}))) / (sqrt(v / (1 - pow(0.999, {e}))) + 1e-8) AS w, m, v FROM u{e}, r{e - 1}p)",
+            scored(f"b{e}", f"w{e}"),
+            f"l{e} AS MATERIALIZED (SELECT (SELECT avg(-ln(p)) FROM a{e}p WHERE c = y AND NOT held) AS train_loss, (SELECT avg(-ln(p)) FROM b{e}p WHERE c = y AND held) AS valid_loss, "
+            f"(SELECT avg(CASE WHEN y = top THEN 1.0 ELSE 0.0 END) FROM (SELECT vec_id, any_value(y) AS y, arg_max(c, p) AS top FROM b{e}p WHERE held GROUP BY vec_id)) AS accuracy)",
+            # the least loss by a share and strictly, epochs without a fall and that were not the best, and whether training has ended before
+            f"s{e} AS (SELECT p.*, l{e}.*, valid_loss < low * (1 - 1e-4) AS fell, valid_loss < best AS is_best FROM r{e - 1}p p, l{e})",
+            f"r{e} AS MATERIALIZED (SELECT {e} AS epoch, train_loss, valid_loss, accuracy, is_best, over OR worse >= 4 AS over, least(best, valid_loss) AS best, CASE WHEN is_best THEN 0 ELSE worse + 1 END AS worse, "
+            f"CASE WHEN fell THEN valid_loss ELSE low END AS low, CASE WHEN fell OR bad = 2 THEN 0 ELSE bad + 1 END AS bad, CASE WHEN NOT fell AND bad = 2 THEN rate / 2 ELSE rate END AS rate FROM s{e})",
+            f"r{e}p AS (SELECT low, bad, rate, best, worse, over FROM r{e})",
+        ]
+    parts.insert(2, f"r0p AS (SELECT 1e300 AS low, 0 AS bad, CAST({first_rate} AS DOUBLE) AS rate, 1e300 AS best, 0 AS worse, false AS over)")
+    every = " UNION ALL ".join(f"SELECT * FROM r{e}" for e in range(1, _EPOCHS + 1))
+    return f"WITH {', '.join(parts)}, e AS (SELECT * FROM ({every}) WHERE NOT over)"
+
+
+def _head(spark, sf_dir, path: str, rate: float):
+    x = table(spark, sf_dir, "embeddings")
+    held = F.col("vec_id") % 5 == 0
+    start = {"0.weight": np.zeros((_CLASSES, 64)), "0.bias": np.zeros(_CLASSES)}
+    return training.train(x.where(~held), x.where(held), start, path, "embedding", "label", _EPOCHS, optimiser=training.AdamW(rate, _DECAY), clip=_CLIP)
+
+
+@query(_training_sql(0.8) + " SELECT CAST(epoch AS INTEGER) AS epoch, round(train_loss, 5) AS train_loss, round(valid_loss, 5) AS valid_loss, round(accuracy, 6) AS accuracy, round(rate, 6) AS rate, is_best AS best FROM e")
+def trained_head(spark, sf_dir):
+    """A softmax head over all vectors, a fifth of them held out, at a rate so high that it is lowered and training ends early."""
+    e = _head(spark, sf_dir, folder(spark, "head"), 0.8)
+    return e.select("epoch", F.round("train_loss", 5).alias("train_loss"), F.round("valid_loss", 5).alias("valid_loss"), F.round("accuracy", 6).alias("accuracy"), F.round("rate", 6).alias("rate"), "best")
+
+
+@query(
+    _training_sql(0.004)
+    + f""", a AS ({" UNION ALL ".join(f"SELECT {e} AS epoch, c, k, w FROM w{e}" for e in range(1, _EPOCHS + 1))})
+SELECT CAST(a.epoch AS INTEGER) AS epoch, c, k, round(w, 6) AS w FROM a JOIN (SELECT max(epoch) AS epoch FROM e WHERE is_best) b ON a.epoch = b.epoch"""
+)
+def best_epoch_weights(spark, sf_dir):
+    """The weights that training has left: those of the epoch with the least loss."""
+    path = folder(spark, "head")
+    _head(spark, sf_dir, path, 0.004)
+    epoch = max(training.BestEpoch(spark, path).epochs())
+    x = models.weight_rows(spark, f"{path}/epoch-{epoch:05}").where("name IN ('0.weight', '0.bias')")
+    x = x.select("name", "shape", F.posexplode("values").alias("i", "w"))
+    bias, width = F.col("name") == "0.bias", F.get("shape", F.lit(1))
+    c, k = F.when(bias, F.col("i")).otherwise(F.floor(F.col("i") / width)), F.when(bias, 0).otherwise(F.col("i") % width + 1)
+    return x.select(F.lit(epoch).cast("int").alias("epoch"), c.cast("int").alias("c"), k.cast("int").alias("k"), F.round("w", 6).alias("w"))

@@ -79,26 +79,36 @@ def masked_frames(spark, sf_dir):
     return x.select("vec_id", "t", F.round(F.aggregate("v", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
 
 
-@query("SELECT vec_id // 16 AS batch, count(*) AS n, true AS alike, true AS within FROM embeddings GROUP BY 1")
+_DRAW = "floor(((CAST('0x' || substr(md5('0|' || vec_id // 16 || '|{k}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) * {most})"
+
+
+@query(
+    f"""WITH m AS (SELECT vec_id, x, {_DRAW.format(k=0, most=4)} AS tw, {_DRAW.format(k=1000, most=3)} AS dw FROM (SELECT vec_id, {_DOUBLES} AS x FROM embeddings)),
+s AS (SELECT *, {_DRAW.format(k=1, most="greatest(8 - tw, 1)")} AS ts, {_DRAW.format(k=1001, most="greatest(8 - dw, 1)")} AS ds FROM m)
+SELECT vec_id, CAST(t AS INTEGER) AS t, round(list_sum(list_transform(range(0, 8), lambda d: CASE WHEN (t >= ts AND t < ts + tw) OR (d >= ds AND d < ds + dw) THEN 0 ELSE x[8 * t + d + 1] END)), 5) AS total
+FROM s, (SELECT unnest(range(0, 8)) AS t)"""
+)
 def masked_batches(spark, sf_dir):
-    """Random masks: the same ones for all rows of a batch, and no more than the limits allow."""
+    """Random masks over vectors as 8 frames of 8 dimensions, the same ones for all of a batch of sixteen."""
     own = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(_doubles(), i * 8 + 1, F.lit(8)))
     x = table(spark, sf_dir, "embeddings").select("vec_id", sequence.batch_of(F.col("vec_id"), 16).cast("long").alias("batch"), own.alias("frames"))
-    x = signal.mask_batch(x, times=1, time_most=3, dims=1, dim_most=2)
-    zeros = F.transform("frames", lambda f: F.transform(f, lambda v: v == 0))
-    x = x.withColumn("zeros", zeros).withColumn("rows", F.size(F.filter("zeros", lambda f: F.forall(f, lambda v: v)))).withColumn("all", F.size(F.filter(F.flatten("zeros"), lambda v: v)))
-    return x.groupBy("batch").agg(F.count("*").alias("n"), (F.count_distinct("zeros") == 1).alias("alike"), F.bool_and((F.col("rows") <= 3) & (F.col("all") <= 8 * F.col("rows") + 2 * (8 - F.col("rows")))).alias("within"))
+    x = signal.mask_batch(x, times=1, time_most=3, dims=1, dim_most=2).select("vec_id", F.posexplode("frames").alias("t", "v"))
+    return x.select("vec_id", "t", F.round(F.aggregate("v", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
 
 
-@query("SELECT vec_id, true AS quiet, true AS scaled, true AS repeatable FROM embeddings")
+@query(
+    f"""WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+u AS (SELECT *, (CAST('0x' || substr(md5('0|' || vec_id || '|' || i || '|r'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496 AS r, (CAST('0x' || substr(md5('0|' || vec_id || '|' || i || '|a'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496 AS a,
+  (CAST('0x' || substr(md5('3|' || vec_id || '|g'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496 AS g FROM c)
+SELECT vec_id, round(sum(0.005 * sqrt(-2 * ln(r)) * cos(2 * pi() * a)), 6) AS noise, round(max(abs(0.005 * sqrt(-2 * ln(r)) * cos(2 * pi() * a))), 6) AS loudest, round(sum(x * (0.8 + 0.4 * g)), 5) AS gained FROM u GROUP BY vec_id"""
+)
 def noise_and_gain(spark, sf_dir):
-    """Random draws: noise stays within nine deviations and is the same on another run, gain within its range."""
+    """Each vector's noise, in total and at its loudest, and the total after its gain."""
     x = table(spark, sf_dir, "embeddings").select("vec_id", _doubles().alias("x"))
-    x = x.withColumns({"noisy": signal.add_noise(F.col("x"), 0.005), "again": signal.add_noise(F.col("x"), 0.005), "gained": signal.random_gain(F.col("x"), seed=3)})
-    apart = F.zip_with("x", "noisy", lambda a, b: F.abs(a - b))
-    ratio = F.zip_with("x", "gained", lambda a, b: F.when(F.abs(a) > 1e-9, b / a).otherwise(F.lit(1.0)))
-    scaled = (F.array_min(ratio) >= 0.8) & (F.array_max(ratio) <= 1.2) & (F.array_max(ratio) - F.array_min(ratio) < 1e-6) | (F.array_min(ratio) >= 0.8)
-    return x.select("vec_id", ((F.array_max(apart) < 0.045) & (F.array_max(apart) > 0)).alias("quiet"), scaled.alias("scaled"), (F.col("noisy") == F.col("again")).alias("repeatable"))
+    x = x.withColumns({"noisy": signal.add_noise(F.col("x"), 0.005, key=F.col("vec_id")), "gained": signal.random_gain(F.col("x"), seed=3, key=F.col("vec_id"))})
+    x = x.withColumn("apart", F.zip_with("x", "noisy", lambda a, b: b - a))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return x.select("vec_id", F.round(total("apart"), 6).alias("noise"), F.round(F.array_max(F.transform("apart", F.abs)), 6).alias("loudest"), F.round(total("gained"), 5).alias("gained"))
 
 
 @query(
@@ -114,21 +124,33 @@ def clips_and_masks(spark, sf_dir):
     return x.select("vec_id", F.round(F.aggregate("c", F.lit(0.0), lambda a, v: a + v), 5).alias("total"), F.array_join(F.transform("m", lambda b: F.when(b, "1").otherwise("0")), "").alias("mask"))
 
 
-@query("SELECT n_nationkey, true AS passed, true AS stopped, true AS gated FROM nation")
-def tones(spark, sf_dir):
-    """Tones of 1 kHz pass the band filter, those below it, and hum at the notch, do not; each nation sets a phase."""
-    t = np.arange(4000) / 16000
+# the squared responses, as both ways filter, in terms of the tangents of the frequencies' half angles
+_BAND = "1 / (1 + pow((pow(tan(pi() * {f} / 16000), 2) - tan(pi() * 300 / 16000) * tan(pi() * 4500 / 16000)) / (tan(pi() * {f} / 16000) * (tan(pi() * 4500 / 16000) - tan(pi() * 300 / 16000))), 8))"
+_HIGH = "1 / (1 + pow(tan(pi() * 80 / 16000) / tan(pi() * {f} / 16000), 8))"
+_HUM = "pow(cos(2 * pi() * 50 / 16000) - cos(2 * pi() * {f} / 16000), 2)"
+_NOTCH = f"{_HUM} / ({_HUM} + pow(tan(2 * pi() * 50 / 16000 / 30 / 2) * sin(2 * pi() * {{f}} / 16000), 2))"
+
 
-    def kept(phase: float, hz: float, f) -> float:
-        return float(np.abs(f(np.sin(2 * np.pi * hz * t + phase))[1500:-1500]).max())
+@query(
+    f"""SELECT n_nationkey, CAST(hz AS INTEGER) AS hz, round({_BAND.format(f="hz")}, 2) AS band, round({_HIGH.format(f="hz")}, 2) AS high, round({_NOTCH.format(f="hz")}, 2) AS notch
+FROM nation, (SELECT unnest([100, 250, 1000, 4000]) AS hz)"""
+)
+def tones(spark, sf_dir):
+    """How loud tones of each nation's phase are after the three filters, against the filters' responses."""
+    t = np.arange(16_000) / 16_000
 
     def levels(x: np.ndarray) -> np.ndarray:
-        passed = min(kept(x[0], 1000, f) for f in (signal.band_pass, signal.high_pass, signal.notch_filter))
-        return np.array([passed, max(kept(x[0], 30, signal.band_pass), kept(x[0], 8, signal.high_pass)), len(signal.spectral_gate(np.sin(2 * np.pi * 500 * t + x[0])))])
+        out = []
+        for hz in (100, 250, 1000, 4000):
+            tone = np.sin(2 * np.pi * hz * t + x[0])
+            # whole periods in the middle
+            out += [float(np.sqrt(2 * (f(tone)[4800:11200] ** 2).mean())) for f in (signal.band_pass, signal.high_pass, signal.notch_filter)]
+        return np.array(out)
 
     x = table(spark, sf_dir, "nation").select("n_nationkey", signal.signal_udf(levels, "array<double>")(F.array(F.col("n_nationkey") / 10.0)).alias("y"))
-    y = lambda k: F.get("y", F.lit(k))
-    return x.select("n_nationkey", (y(0) > 0.97).alias("passed"), (y(1) < 0.02).alias("stopped"), (y(2) == len(t)).alias("gated"))
+    x = x.select("n_nationkey", "y", F.explode(F.array(*[F.struct(F.lit(hz).alias("hz"), F.lit(3 * k).alias("k")) for k, hz in enumerate((100, 250, 1000, 4000))])).alias("f"))
+    y = lambda k: F.round(F.get("y", F.col("f.k") + k), 2)
+    return x.select("n_nationkey", "f.hz", y(0).alias("band"), y(1).alias("high"), y(2).alias("notch"))
 
 
 @query(

@@ -33,12 +33,12 @@ def read_wav(spark: SparkSession, root: str, rate: int = RATE, normalize: bool =
     return files.mapInPandas(decode, WAVE)
 
 
-def wav_bytes(samples, rate: int = RATE):
+def wav_bytes(samples, rate: int = RATE, channels: int = 1):
     """Arrow UDF: samples to a 16-bit wave file's bytes, for a binary column or clip sink."""
 
     @F.pandas_udf("binary")
     def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else encode_wav(x, rate) for x in rows])
+        return pd.Series([None if x is None else encode_wav(x, rate, channels) for x in rows])
 
     return run(samples)
 

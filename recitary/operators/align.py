@@ -102,22 +102,46 @@ def aligned_pairs(expected: Column, predicted: Column) -> Column:
     return run(expected, predicted)
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Unit-cost distance of two token arrays, as a native fold: one row of the table is an
-    array, and each token of a folds it into the next. Fine for some hundred tokens."""
-    first = F.sequence(F.lit(0), F.size(b))
+def partners(pairs: Column) -> Column:
+    """array<int>: at each expected place the predicted one that aligned_pairs pairs with it, or null."""
+
+    @F.pandas_udf("array<int>")
+    def run(rows: pd.Series) -> pd.Series:
+        out = []
+        for own in rows:
+            held = [(p["expected_index"], p["predicted_index"]) for p in _list(own) if p["expected_index"] is not None]
+            places = [None] * (max((i for i, _ in held), default=-1) + 1)
+            for i, j in held:
+                places[i] = j
+            out.append(places)
+        return pd.Series(out, dtype="object")
+
+    return run(pairs)
 
-    def next_row(row: Column, token: Column) -> Column:
-        start = F.array(F.element_at(row, 1) + 1)
 
-        def cell(out: Column, k: Column) -> Column:
-            change = F.get(row, k) + F.when(F.get(b, k) == token, 0).otherwise(1)
-            return F.concat(out, F.array(F.least(F.get(row, k + 1) + 1, F.element_at(out, -1) + 1, change)))
+def distance(a: list, b: list) -> int:
+    """The last cell of distance_table, which is not kept: two rows at a time."""
+    codes = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
+    y = np.array([codes[v] for v in b], dtype=np.int64)
+    steps = np.arange(len(y) + 1)
+    row = steps
+    for i, v in enumerate(a):
+        new = np.empty_like(row)
+        new[0] = i + 1
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != codes[v]))
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row[-1])
 
-        places = F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, start, cell)
 
-    return F.element_at(F.aggregate(a, first, next_row), -1)
+def edit_distance(a: Column, b: Column) -> Column:
+    """Unit-cost distance of two token arrays, in memory that grows with one of them. Null for a null array."""
+
+    @F.pandas_udf("int")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([None if p is None or q is None else distance(list(p), list(q)) for p, q in zip(x, y, strict=True)], dtype="Int32")
+
+    return run(a, b)
 
 
 def _list(x) -> list:

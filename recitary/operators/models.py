@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sequence import LAYERS
+from .sequence import LAYERS, once
 
 Weights = dict[str, np.ndarray]
 
@@ -208,9 +208,8 @@ def ctc_losses(scores: Column, targets: Column, blank: int = 0) -> Column:
 
 def cross_entropy(scores: Column, label: Column) -> Column:
     """Native: minus the log share of the label's class."""
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.log(total) - (F.get(scores, label) - top)
+    loss = lambda top: F.log(F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - top))) - (F.get(scores, label) - top)
+    return once(F.array_max(scores), loss)
 
 
 def classifier(train: DataFrame, features: str = "features", label: str = "label", layers=(768, 256, 8), seed: int = 42):

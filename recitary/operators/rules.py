@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recitary.functions.alphabet import HAMZAS, long_ids, short_ids
 from recitary.functions.text import next_significant, normalize_arabic
 
-from .sequence import short_average
+from .align import partners
+from .sequence import once, short_average
 
 # Rule lengths in short vowels, and least durations in milliseconds.
 EXPECTED = {"muttasil": 5, "munfasil": 5, "lazim": 6, "tabeei": 2}
@@ -47,27 +50,29 @@ def judge_madd(rules: Column, segments: Column, tolerance: float = TOLERANCE, sh
     """Each rule against the segment of its place: struct<phoneme_index, type, expected, observed,
     status>. Rules beyond the segments, and all without short vowels, are left out."""
     ids = F.array(*[F.lit(i) for i in (short if short is not None else short_ids())])
-    mean = short_average(segments, ids)
-
-    def one(r: Column) -> Column:
-        seen = F.get(segments, r["phoneme_index"])["frames"] / mean
-        return F.struct(r["phoneme_index"].alias("phoneme_index"), r["type"].alias("type"), r["expected_harakat"].alias("expected"), F.round(seen, 2).alias("observed"), verdict(seen, r["expected_harakat"], tolerance).alias("status"))
-
-    return F.when(mean.isNotNull(), F.transform(F.filter(rules, lambda r: r["phoneme_index"] < F.size(segments)), one)).otherwise(F.filter(F.transform(rules, one), lambda r: F.lit(False)))
+    return _judged(rules, lambda i: i, segments, ids, lambda r, own: r["phoneme_index"] < F.size(own), tolerance)
 
 
 def judge_aligned(rules: Column, pairs: Column, segments: Column, tolerance: float = TOLERANCE) -> Column:
     """The same, where a rule's place is one among the expected tokens: the segment is that of
     the predicted token which the alignment pairs with it. Unpaired rules are left out;
     phoneme_index stays the expected place."""
-    mean = short_average(segments, F.array(*[F.lit(i) for i in short_ids()]))
+    ids = F.array(*[F.lit(i) for i in short_ids()])
+    found = lambda places: _judged(rules, lambda i: F.get(places, i), segments, ids, lambda r, own: F.get(own, F.get(places, r["phoneme_index"])).isNotNull(), tolerance)
+    return once(partners(pairs), found)
+
+
+def _judged(rules: Column, place: Callable[[Column], Column], segments: Column, ids: Column, keep: Callable[[Column, Column], Column], tolerance: float) -> Column:
+    """Verdicts of the rules to keep, each looking up the segment at its place; all is one pass over rules and segments."""
+
+    def judge(own: Column, mean: Column) -> Column:
+        def one(r: Column) -> Column:
+            seen = F.get(own, place(r["phoneme_index"]))["frames"] / mean
+            return F.struct(r["phoneme_index"].alias("phoneme_index"), r["type"].alias("type"), r["expected_harakat"].alias("expected"), F.round(seen, 2).alias("observed"), verdict(seen, r["expected_harakat"], tolerance).alias("status"))
 
-    def one(r: Column) -> Column:
-        at = F.get(F.filter(pairs, lambda p: p["expected_index"] == r["phoneme_index"]), F.lit(0))["predicted_index"]
-        seen = F.get(segments, at)["frames"] / mean
-        return F.struct(r["phoneme_index"].alias("phoneme_index"), r["type"].alias("type"), r["expected_harakat"].alias("expected"), F.round(seen, 2).alias("observed"), verdict(seen, r["expected_harakat"], tolerance).alias("status"))
+        return F.transform(F.filter(rules, lambda r: mean.isNotNull() & keep(r, own)), one)
 
-    return F.filter(F.transform(rules, one), lambda v: v["observed"].isNotNull())
+    return once(segments, lambda own: once(short_average(own, ids), lambda mean: judge(own, mean)))
 
 
 def harakat_ids() -> tuple[Column, Column]:

@@ -6,6 +6,8 @@ Window forms share one exchange and sort on (utt, t); array forms need none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,12 @@ def adjacent_pairs(tokens: DataFrame, utt: str = "utt", t: str = "t", id_: str =
     return runs.where((F.col("__at") % 2 == 0) & (F.col(id_) == F.col("__next"))).drop("__c", "__run", "__next", "__at")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: as the element of an array it is bound to a name. Within a lambda an
+    expression over the whole array would be computed for each of its elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def short_average(segments: Column, short: Column) -> Column:
     """Mean frames of the segments whose id is in `short`; null without any."""
     own = F.filter(segments, lambda s: F.array_contains(short, s["id"]))
@@ -86,9 +94,13 @@ def short_average(segments: Column, short: Column) -> Column:
 
 def observed_harakat(segments: Column, short: Column, long: Column) -> Column:
     """For long segments: place, id, frames and length in short vowels. Empty without short ones."""
-    mean = short_average(segments, short)
-    rows = F.transform(segments, lambda s, i: F.struct(i.alias("segment_index"), s["id"].alias("phoneme_id"), s["frames"].alias("frames"), (s["frames"] / mean).alias("observed_harakat")))
-    return F.when(mean.isNotNull(), F.filter(rows, lambda r: F.array_contains(long, r["phoneme_id"]))).otherwise(F.filter(rows, lambda r: F.lit(False)))
+
+
+    def of(mean: Column) -> Column:
+        rows = F.transform(segments, lambda s, i: F.struct(i.alias("segment_index"), s["id"].alias("phoneme_id"), s["frames"].alias("frames"), (s["frames"] / mean).alias("observed_harakat")))
+        return F.filter(rows, lambda r: mean.isNotNull() & F.array_contains(long, r["phoneme_id"]))
+
+    return once(short_average(segments, short), of)
 
 
 def pad_or_truncate(x: Column, n: int, zero=0.0) -> Column:
@@ -121,7 +133,7 @@ def training_rows(manifest: DataFrame, samples: str = "samples", phonemes: str =
     both lengths: what collate() takes. Tokens outside the vocabulary are dropped."""
     x = F.slice(F.col(samples), 1, cap) if cap else F.col(samples)
     peak = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double")))) + 1e-8
-    signal = F.transform(x, lambda v: (v.cast("double") / peak).cast("float"))
+    signal = once(peak, lambda p: F.transform(x, lambda v: (v.cast("double") / p).cast("float")))
     out = manifest.withColumns({"signal": signal, "ids": encode(parse_list(F.col(phonemes)))})
     return out.withColumns({"signal_length": F.size("signal"), "target_length": F.size("ids")})
 

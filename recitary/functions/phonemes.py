@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recitary.sources.scratch import written
+
 from . import text as T
 from .alphabet import (
     DAGGER,
@@ -389,6 +391,14 @@ def phonemes(text: Column, analyses: Column | None = None, marks: bool = True) -
     return run(T.normalize_arabic(text), null if analyses is None else analyses)
 
 
+def distinct_phonemes(df: DataFrame, text: str, marks: bool = True) -> DataFrame:
+    """df with the columns tokens, meta and error of `text`: each different text is read once and joined back. Worth it
+    where texts are words, which repeat; the table of different ones is written, so that the reader runs once."""
+    read = written(df.select(F.col(text).alias("__text")).distinct().withColumn("__r", phonemes(F.col("__text"), marks=marks)), "phonemes")
+    out = df.join(read, F.col(text).eqNullSafe(F.col("__text")), "left")
+    return out.select(*[df[c] for c in df.columns], "__r.tokens", "__r.meta", "__r.error")
+
+
 def best_analysis(lexicon: DataFrame) -> DataFrame:
     """One analysis for each word by score, the first row winning ties (column rank orders
     rows); has_al if any analysis has the article."""

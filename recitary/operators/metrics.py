@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +13,13 @@ def distinct_groups(df: DataFrame, *cols: str) -> DataFrame:
     return df.agg(F.count_distinct(*cols).alias("groups"))
 
 
-def counters(df: DataFrame, error: Column) -> DataFrame:
-    return df.agg(F.count("*").alias("total"), F.count_if(error.isNull()).alias("processed"), F.count_if(error.isNotNull()).alias("errors"))
+def counters(df: DataFrame, error: Column, *groups: str) -> DataFrame:
+    return df.groupBy(*groups).agg(F.count("*").alias("total"), F.count_if(error.isNull()).alias("processed"), F.count_if(error.isNotNull()).alias("errors"))
 
 
-def total_hours(df: DataFrame, frames: str = "n_frames", rate: str = "rate", error: str | None = None) -> DataFrame:
+def total_hours(df: DataFrame, frames: str = "n_frames", rate: str = "rate", error: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     failed = F.count_if(F.col(error).isNotNull()) if error else F.lit(0)
-    return df.agg((F.sum(F.col(frames) / F.col(rate)) / 3600).alias("hours"), failed.alias("failed"))
+    return df.groupBy(*by).agg((F.sum(F.col(frames) / F.col(rate)) / 3600).alias("hours"), failed.alias("failed"))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

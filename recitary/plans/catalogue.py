@@ -14,7 +14,7 @@ from recitary.functions import phonemes as P
 from recitary.functions import text as T
 from recitary.functions.alphabet import decode, encode, out_of_vocabulary
 from recitary.operators import align, metrics, rules, sequence, signal, split
-from recitary.plans.registry import GOLDEN, ORACLES, QUERIES, SEGMENTS, frames, query, rows, segments, table, values
+from recitary.plans.registry import GOLDEN, ORACLES, QUERIES, SEGMENTS, frames, query, rows, said, segments, spoken, spoken_sql, table, values
 from recitary.sources import manifest
 
 def numbered(spark, sf_dir) -> DataFrame:
@@ -262,24 +262,33 @@ WORDS = {
 MODEL_WORDS = {"بَابٌ": "b aː b", "الكِتَاب": "a l k i t aː b", "شَدّ": "ʃ a d d", "نُور": "n uː r", "فِيل": "f iː l", "هٰذَا": "h ð aː"}
 
 
-@query(f"SELECT * FROM (VALUES {values(GOLDEN)}) v(word, tokens)")
+_STATED = [w for w, _ in GOLDEN]
+
+
+@query(
+    f"""WITH {spoken_sql(_STATED)}, g AS (SELECT * FROM (VALUES {values(GOLDEN)}) v(word, tokens))
+SELECT doc_id, count(*) AS words, md5(string_agg(tokens, ' | ' ORDER BY pos)) AS tokens_md5 FROM spoken JOIN g USING (word) GROUP BY doc_id"""
+)
 def phonemes_full(spark, sf_dir):
-    return rows(spark, [(w,) for w, _ in GOLDEN], "word string").select("word", F.array_join(P.phonemes(F.col("word"))["tokens"], " ").alias("tokens"))
+    """The words of all documents as stated ones: each different word is read once, the sounds of a document in its order."""
+    x = P.distinct_phonemes(spoken(spark, sf_dir, _STATED), "word").groupBy("doc_id")
+    own = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.array_join("tokens", " ").alias("t")))), lambda s: s["t"])
+    return x.agg(F.count("*").alias("words"), F.md5(F.array_join(own, " | ")).alias("tokens_md5"))
 
 
-@query(f"SELECT * FROM (VALUES {values(list(MODEL_WORDS.items()))}) v(word, tokens)")
+@query(f"WITH {spoken_sql(list(MODEL_WORDS))} SELECT word, tokens, times, docs FROM said JOIN (VALUES {values(list(MODEL_WORDS.items()))}) v(word, tokens) USING (word)")
 def phonemes_basic(spark, sf_dir):
-    return rows(spark, [(w,) for w in MODEL_WORDS], "word string").select("word", F.array_join(P.model_phonemes(F.col("word")), " ").alias("tokens"))
+    return said(spark, sf_dir, list(MODEL_WORDS)).select("word", F.array_join(P.model_phonemes(F.col("word")), " ").alias("tokens"), "times", "docs")
 
 
 @query(
-    f"""WITH w AS (SELECT * FROM (VALUES {values([(w,) for w, _ in GOLDEN])}) v(word))
-SELECT word, regexp_replace(word, 'ل([\\x{{064B}}-\\x{{0652}}\\x{{0670}}]*)ل[\\x{{064B}}-\\x{{0652}}\\x{{0670}}]*ه', 'ل\\1لّٰه', 'g') AS fixed,
-  regexp_replace(word, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}]', '', 'g') AS bare, translate(word, 'أإؤئء', 'ااااا') AS folded FROM w"""
+    f"""WITH {spoken_sql(_STATED)}
+SELECT word, times, docs, regexp_replace(word, 'ل([\\x{{064B}}-\\x{{0652}}\\x{{0670}}]*)ل[\\x{{064B}}-\\x{{0652}}\\x{{0670}}]*ه', 'ل\\1لّٰه', 'g') AS fixed,
+  regexp_replace(word, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}]', '', 'g') AS bare, translate(word, 'أإؤئء', 'ااااا') AS folded FROM said"""
 )
 def lafz_regex(spark, sf_dir):
     w = F.col("word")
-    return rows(spark, [(x,) for x, _ in GOLDEN], "word string").select("word", T.normalize_name(w).alias("fixed"), T.remove_marks(w).alias("bare"), T.fold_hamza(w).alias("folded"))
+    return said(spark, sf_dir, _STATED).select("word", "times", "docs", T.normalize_name(w).alias("fixed"), T.remove_marks(w).alias("bare"), T.fold_hamza(w).alias("folded"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recitary.functions import phonemes as P
 from recitary.functions import text as T
 from recitary.operators import models, sequence
-from recitary.plans.registry import GOLDEN, query, rows, table, values
+from recitary.plans.registry import GOLDEN, query, rows, spoken, spoken_sql, table, values
 from recitary.sources import audio, manifest
 from recitary.sources.scratch import folder
 
@@ -32,22 +32,35 @@ def verse_lines_strict(spark, sf_dir):
     return manifest.read_verses(spark, path, strict=True).select("surah", "ayah", F.md5("text").alias("text_md5"))
 
 
-@query(f"SELECT word, tokens, CAST(len(string_split(tokens, ' ')) AS INTEGER) AS n FROM (VALUES {values(GOLDEN)}) v(word, tokens)")
+_STATED = [w for w, _ in GOLDEN]
+
+
+@query(
+    f"""WITH {spoken_sql(_STATED)}, g AS (SELECT * FROM (VALUES {values(GOLDEN)}) v(word, tokens))
+SELECT word, tokens, CAST(len(string_split(tokens, ' ')) AS INTEGER) AS n, count(*) AS lines FROM spoken JOIN g USING (word) GROUP BY ALL"""
+)
 def phoneme_lines(spark, sf_dir):
+    """A line for each word of all documents, written and read again."""
     path = folder(spark, "phonemes")
-    read = rows(spark, [(w,) for w, _ in GOLDEN], "word string").select(F.col("word").alias("text"), P.phonemes(F.col("word"))["tokens"].alias("tokens"))
+    read = P.distinct_phonemes(spoken(spark, sf_dir, _STATED), "word").select(F.col("word").alias("text"), "tokens")
     manifest.write_phoneme_lines(read, path)
     back = manifest.parse_phoneme_lines(spark.read.text(path))
-    return back.select(F.col("text").alias("word"), T.join_tokens(F.col("tokens")).alias("tokens"), F.size("tokens").alias("n"))
+    return back.groupBy(F.col("text").alias("word"), T.join_tokens(F.col("tokens")).alias("tokens"), F.size("tokens").alias("n")).agg(F.count("*").alias("lines"))
 
 
-@query(f"SELECT CAST(row_number() OVER () AS INTEGER) AS surah, word, tokens FROM (VALUES {values(GOLDEN)}) v(word, tokens)")
+@query(
+    f"""SELECT CAST(doc_id % 1000 AS INTEGER) AS surah, doc_id, word, tokens FROM documents JOIN (SELECT row_number() OVER () - 1 AS k, word, tokens FROM (VALUES {values(GOLDEN)}) v(word, tokens)) g ON g.k = doc_id % {len(GOLDEN)}"""
+)
 def phoneme_manifest(spark, sf_dir):
+    """A recording for each document, which says a stated word."""
     path = folder(spark, "manifest")
-    x = rows(spark, [(k, 1, "p.wav", "r", w) for k, (w, _) in enumerate(GOLDEN, 1)], manifest.MANIFEST)
-    manifest.write_phoneme_manifest(x.withColumn("tokens", P.phonemes(F.col("ayah_text"))["tokens"]), path)
+    word = F.get(F.array(*[F.lit(w) for w in _STATED]), (F.col("doc_id") % len(_STATED)).cast("int"))
+    x = table(spark, sf_dir, "documents").select((F.col("doc_id") % 1000).cast("int").alias("surah"), F.lit(1).alias("ayah"), F.concat("doc_id", F.lit(".wav")).alias("path_of_audio"), "source", word.alias("ayah_text"))
+    x = x.toDF(*[c.split()[0] for c in manifest.MANIFEST.split(", ")])
+    manifest.write_phoneme_manifest(P.distinct_phonemes(x, "ayah_text").drop("meta", "error"), path)
     back = manifest.read_csv(spark, path, manifest.PHONEME_MANIFEST)
-    return back.select("surah", F.col("ayah_text").alias("word"), T.join_tokens(T.parse_list(F.col("phonemes"))).alias("tokens"))
+    doc = F.regexp_extract(back.columns[2], "^([0-9]+)", 1).cast("long")
+    return back.select("surah", doc.alias("doc_id"), F.col("ayah_text").alias("word"), T.join_tokens(T.parse_list(F.col("phonemes"))).alias("tokens"))
 
 
 @query(

@@ -1,7 +1,7 @@
 """Queries over Arabic words and over whole evaluations.
 
-The tables hold no Arabic script, so the words with stated tokens stand in for it; where rows
-of a table are read, events stand for what a frame model said."""
+The tables hold no Arabic script: each word of the documents stands for one of the words with stated tokens, and
+events stand for what a frame model said."""
 
 from __future__ import annotations
 
@@ -11,69 +11,74 @@ from recitary.functions import phonemes as P
 from recitary.functions import text as T
 from recitary.operators import metrics, rules
 from recitary.plans.evaluate import evaluate
-from recitary.plans.registry import GOLDEN, frames, query, rows, table, values
+from recitary.plans.registry import GOLDEN, frames, query, rows, said, spoken, spoken_sql, table, values
 
 _D = "[\\x{064B}-\\x{0652}\\x{0670}]"
-_WORDS = f"WITH w AS (SELECT * FROM (VALUES {values([(w,) for w, _ in GOLDEN])}) v(word)), c AS (SELECT word, unnest(range(0, length(word))) AS i FROM w)\n"
+_STATED = [w for w, _ in GOLDEN]
+_SAID_WORDS = f"WITH {spoken_sql(_STATED)}"
+_PLACES = _SAID_WORDS + ", c AS (SELECT word, times, docs, unnest(range(0, length(word))) AS i FROM said)\n"
 
 
-def _words(spark):
-    return rows(spark, [(w,) for w, _ in GOLDEN], "word string")
+def _words(spark, sf_dir):
+    return said(spark, sf_dir, _STATED)
 
 
-def _places(spark):
-    return _words(spark).select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
+def _places(spark, sf_dir):
+    return _words(spark, sf_dir).select("word", "times", "docs", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
 
 
 @query(
-    f"""WITH w AS (SELECT *, '  ab' || chr(9) || word || 'ۖ ـ 1 ' || word || chr(10) AS raw FROM (VALUES {values([(w,) for w, _ in GOLDEN])}) v(word)),
-k AS (SELECT word, regexp_replace(raw, '[ۖۗۘۙۚۛۜ۝۞۩ـ]', '', 'g') AS x FROM w)
-SELECT word, regexp_replace(trim(regexp_replace(regexp_replace(x, '[^\\x{{0600}}-\\x{{06FF}}\\s]', '', 'g'), '\\s+', ' ', 'g')), 'ل({_D}*)ل{_D}*ه', 'ل\\1لّٰه', 'g') AS clean,
+    _SAID_WORDS
+    + f""", w AS (SELECT *, '  ab' || chr(9) || word || 'ۖ ـ 1 ' || word || chr(10) AS raw FROM said),
+k AS (SELECT word, times, docs, regexp_replace(raw, '[ۖۗۘۙۚۛۜ۝۞۩ـ]', '', 'g') AS x FROM w)
+SELECT word, times, docs, regexp_replace(trim(regexp_replace(regexp_replace(x, '[^\\x{{0600}}-\\x{{06FF}}\\s]', '', 'g'), '\\s+', ' ', 'g')), 'ل({_D}*)ل{_D}*ه', 'ل\\1لّٰه', 'g') AS clean,
   translate(trim(word), 'إأآٱىةـ', 'ااااي' || 'ه') AS folded FROM k"""
 )
 def normalize_words(spark, sf_dir):
     raw = F.concat(F.lit("  ab\t"), "word", F.lit("ۖ ـ 1 "), "word", F.lit("\n"))
-    return _words(spark).select("word", T.normalize_arabic(raw).alias("clean"), T.fold_letters(F.col("word")).alias("folded"))
+    return _words(spark, sf_dir).select("word", "times", "docs", T.normalize_arabic(raw).alias("clean"), T.fold_letters(F.col("word")).alias("folded"))
 
 
 @query(
-    _WORDS
-    + f"""SELECT word, CAST(i AS INTEGER) AS i, regexp_extract(substr(word, i + 1), '^({_D}*)', 1) AS marks,
+    _PLACES
+    + f"""SELECT word, times, docs, CAST(i AS INTEGER) AS i, regexp_extract(substr(word, i + 1), '^({_D}*)', 1) AS marks,
   CASE WHEN m LIKE '%َ%' THEN 'a' WHEN m LIKE '%ِ%' THEN 'i' WHEN m LIKE '%ُ%' THEN 'u' END AS vowel,
   CASE WHEN m LIKE '%ً%' THEN 'an' WHEN m LIKE '%ٍ%' THEN 'in' WHEN m LIKE '%ٌ%' THEN 'un' END AS tanween,
   CASE nxt WHEN ' ' THEN 'SPACE' WHEN '' THEN NULL ELSE nxt END AS next_one,
   coalesce(list_aggregate(list_reverse(string_split(before, ''))[1:2], 'string_agg', ' '), '') AS before
-FROM (SELECT word, i, regexp_extract(substr(word, i + 1), '^({_D}*)', 1) AS m, regexp_extract(substr(word, i + 2), '^{_D}*([^ً-ْٰ])', 1) AS nxt,
+FROM (SELECT word, times, docs, i, regexp_extract(substr(word, i + 1), '^({_D}*)', 1) AS m, regexp_extract(substr(word, i + 2), '^{_D}*([^ً-ْٰ])', 1) AS nxt,
   regexp_replace(substr(word, 1, i), '{_D}', '', 'g') AS before FROM c)"""
 )
 def letters_around(spark, sf_dir):
     w, i = F.col("word"), F.col("i")
     marks = T.marks_at(w, i + 1)
-    return _places(spark).select(
-        "word", "i", marks.alias("marks"), T.short_vowel(marks).alias("vowel"), T.tanween(marks).alias("tanween"), T.next_significant(w, i).alias("next_one"),
+    return _places(spark, sf_dir).select(
+        "word", "times", "docs", "i", marks.alias("marks"), T.short_vowel(marks).alias("vowel"), T.tanween(marks).alias("tanween"), T.next_significant(w, i).alias("next_one"),
         F.array_join(T.previous_letters(w, i), " ").alias("before"),
     )
 
 
-@query(_WORDS + "SELECT word, CAST(i + 1 AS INTEGER) AS at FROM c WHERE substr(word, i + 1, 2) IN ('َا', 'ِي', 'ُو')")
+@query(_PLACES + "SELECT word, times, docs, CAST(i + 1 AS INTEGER) AS at FROM c WHERE substr(word, i + 1, 2) IN ('َا', 'ِي', 'ُو')")
 def madd_places(spark, sf_dir):
-    return _words(spark).select("word", F.explode(T.madd_positions(F.col("word"))).alias("at"))
+    return _words(spark, sf_dir).select("word", "times", "docs", F.explode(T.madd_positions(F.col("word"))).alias("at"))
 
 
 @query(
-    f"""SELECT word, list_aggregate(list_filter(string_split(tokens, ' '), lambda t: t NOT IN ('<wasl>', '<space>')), 'string_agg', ' ') AS tokens FROM (VALUES {values(GOLDEN)}) v(word, tokens)"""
+    _SAID_WORDS
+    + f""" SELECT word, times, docs, list_aggregate(list_filter(string_split(tokens, ' '), lambda t: t NOT IN ('<wasl>', '<space>')), 'string_agg', ' ') AS tokens
+FROM said JOIN (VALUES {values(GOLDEN)}) v(word, tokens) USING (word)"""
 )
 def phonemes_without_marks(spark, sf_dir):
-    return _words(spark).select("word", T.join_tokens(P.phonemes(F.col("word"), marks=False)["tokens"]).alias("tokens"))
+    return _words(spark, sf_dir).select("word", "times", "docs", T.join_tokens(P.phonemes(F.col("word"), marks=False)["tokens"]).alias("tokens"))
 
 
 # Spelled letters within a verse, with the tokens stated for them.
 _SPELLED = [("ب طه ب", "b <space> tˤaa haa <space> b"), ("ب يس", "b <space> yaa sii n"), ("ب حم ب", "b <space> ħaa mii m <space> b")]
 
 
-@query(f"SELECT * FROM (VALUES {values(_SPELLED)}) v(word, tokens)")
+@query(f"WITH {spoken_sql([w for w, _ in _SPELLED])} SELECT word, times, docs, tokens FROM said JOIN (VALUES {values(_SPELLED)}) v(word, tokens) USING (word)")
 def spelled_letters(spark, sf_dir):
-    return rows(spark, [(w,) for w, _ in _SPELLED], "word string").select("word", T.join_tokens(P.phonemes(F.col("word"))["tokens"]).alias("tokens"))
+    return said(spark, sf_dir, [w for w, _ in _SPELLED]).select("word", "times", "docs", T.join_tokens(P.phonemes(F.col("word"))["tokens"]).alias("tokens"))
 
 
 _ANALYSES = [
@@ -91,29 +96,37 @@ _ANALYSES = [
 _COLUMNS = ("word", "rank", "prc0", "prc1", "prc2", "prc3", "pos", "stem", "lex")
 
 
+_KNOWN = list(dict.fromkeys(a[0] for a in _ANALYSES))
+
+
 def _lexicon(spark):
     return rows(spark, _ANALYSES, ", ".join(f"{c} {'int' if c == 'rank' else 'string'}" for c in _COLUMNS))
 
 
 @query(
-    f"""WITH l AS (SELECT *, CASE WHEN prc2 = 'ال' THEN 5 ELSE 0 END + CASE WHEN prc3 IS NOT NULL AND prc3 <> '0' THEN 2 ELSE 0 END + CASE WHEN pos IN ('noun', 'verb') THEN 2 ELSE 0 END - CASE WHEN pos = 'unk' THEN 5 ELSE 0 END AS score
+    f"""WITH {spoken_sql(_KNOWN)}, l AS (SELECT *, CASE WHEN prc2 = 'ال' THEN 5 ELSE 0 END + CASE WHEN prc3 IS NOT NULL AND prc3 <> '0' THEN 2 ELSE 0 END + CASE WHEN pos IN ('noun', 'verb') THEN 2 ELSE 0 END - CASE WHEN pos = 'unk' THEN 5 ELSE 0 END AS score
   FROM (VALUES {values(_ANALYSES)}) v({", ".join(f'"{c}"' for c in _COLUMNS)})),
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, "rank") AS place, bool_or(prc2 = 'ال') OVER (PARTITION BY word) AS has_al FROM l)
-SELECT word, prc0, prc1, prc2, prc3, pos, stem, lex, has_al FROM r WHERE place = 1"""
+SELECT word, times, docs, prc0, prc1, prc2, prc3, pos, stem, lex, has_al FROM r JOIN said USING (word) WHERE place = 1"""
 )
 def best_analyses(spark, sf_dir):
-    return P.best_analysis(_lexicon(spark))
+    """The best analysis of each word that the documents say."""
+    x = said(spark, sf_dir, _KNOWN)
+    return P.best_analysis(_lexicon(spark).join(x.select("word"), "word", "left_semi")).join(x, "word")
 
 
 # Words that the lexicon analyses, and one that it lacks, with their tokens.
 _ANALYSED = [("وَكَتَبَ", "wa ka ta ba"), ("وَالشَّمْسِ", "wa <wasl> ʃ ʃa m si"), ("بِسْمِ", "bi <wasl> s mi"), ("فَاسْتَقِمْ", "fa <wasl> s ta qi m"), ("غَيْرِ", "ɣa y ri")]
 
 
-@query(f"SELECT * FROM (VALUES {values(_ANALYSED)}) v(word, tokens)")
+@query(f"WITH {spoken_sql([w for w, _ in _ANALYSED])} SELECT doc_id, count(*) AS words, md5(string_agg(tokens, ' | ' ORDER BY pos)) AS tokens_md5 FROM spoken JOIN (VALUES {values(_ANALYSED)}) v(word, tokens) USING (word) GROUP BY doc_id")
 def lexicon_phonemes(spark, sf_dir):
-    words = rows(spark, [(k, w) for k, (w, _) in enumerate(_ANALYSED)], "k int, word string")
-    x = P.with_analyses(words, "word", P.best_analysis(_lexicon(spark)), "k")
-    return x.select("word", T.join_tokens(P.phonemes(F.col("word"), F.col("analyses"))["tokens"]).alias("tokens"))
+    """The words of all documents, read with the lexicon once each."""
+    x = spoken(spark, sf_dir, [w for w, _ in _ANALYSED])
+    words = P.with_analyses(x.select(F.col("word").alias("said")).distinct(), "said", P.best_analysis(_lexicon(spark)), "said")
+    read = words.select(F.col("said").alias("word"), T.join_tokens(P.phonemes(F.col("said"), F.col("analyses"))["tokens"]).alias("t"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"])
+    return x.join(read, "word").groupBy("doc_id").agg(F.count("*").alias("words"), F.md5(F.array_join(own, " | ")).alias("tokens_md5"))
 
 
 # Texts with the long-vowel rules that follow from them: place, kind, length; as recorded, and as evidently meant.
@@ -125,11 +138,11 @@ _MADD = [
 ]
 
 
-@query(f"SELECT * FROM (VALUES {values(_MADD)}) v(word, recorded, meant)")
+@query(f"WITH {spoken_sql([w for w, *_ in _MADD])} SELECT word, times, docs, recorded, meant FROM said JOIN (VALUES {values(_MADD)}) v(word, recorded, meant) USING (word)")
 def madd_rules_of_texts(spark, sf_dir):
     show = lambda r: F.array_join(F.transform(r, lambda x: F.concat_ws(" ", x["phoneme_index"], x["type"], x["expected_harakat"])), ",")
-    x = rows(spark, [(w,) for w, _, _ in _MADD], "word string").withColumn("meta", P.phonemes(F.col("word"))["meta"])
-    return x.select("word", show(rules.madd_rules(F.col("word"), F.col("meta"))).alias("recorded"), show(rules.madd_rules(F.col("word"), F.col("meta"), intent=True)).alias("meant"))
+    x = said(spark, sf_dir, [w for w, *_ in _MADD]).withColumn("meta", P.phonemes(F.col("word"))["meta"])
+    return x.select("word", "times", "docs", show(rules.madd_rules(F.col("word"), F.col("meta"))).alias("recorded"), show(rules.madd_rules(F.col("word"), F.col("meta"), intent=True)).alias("meant"))
 
 
 # What each event stands for as a token (id, token, letters and marks), and the verse that is expected.
@@ -163,9 +176,9 @@ def evaluation(spark, sf_dir):
 
 @query(
     """SELECT lang, count(*) AS total, count(*) FILTER (WHERE length(text) >= 300) AS processed, count(*) FILTER (WHERE length(text) < 300 OR text IS NULL) AS errors,
-  sum(n_chars / 16000.0) / 3600 AS hours, count(*) FILTER (WHERE length(text) < 300) AS failed FROM documents WHERE lang = 'de' GROUP BY lang"""
+  sum(n_chars / 16000.0) / 3600 AS hours, count(*) FILTER (WHERE length(text) < 300) AS failed FROM documents GROUP BY lang"""
 )
 def processing_counts(spark, sf_dir):
-    x = table(spark, sf_dir, "documents").where("lang = 'de'").withColumn("error", F.when(F.length("text") < 300, "short").when(F.col("text").isNull(), "none"))
+    x = table(spark, sf_dir, "documents").withColumn("error", F.when(F.length("text") < 300, "short").when(F.col("text").isNull(), "none"))
     x = x.withColumn("rate", F.lit(16000.0))
-    return metrics.counters(x, F.col("error")).withColumn("lang", F.lit("de")).join(metrics.total_hours(x, "n_chars", error="error").withColumn("lang", F.lit("de")), "lang")
+    return metrics.counters(x, F.col("error"), "lang").join(metrics.total_hours(x, "n_chars", error="error", by=["lang"]), "lang")

@@ -51,6 +51,30 @@ def rows(spark, data: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(data, schema)
 
 
+WORD = "[^\\x20\\x09-\\x0D]+"
+
+
+def spoken(spark, sf_dir, words: list[str]) -> DataFrame:
+    """The words of all documents, each standing for one of the given ones, by its md5: doc_id, pos, word."""
+    own = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    x = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(own).alias("pos", "w"))
+    place = F.conv(F.substring(F.md5("w"), 1, 7), 16, 10).cast("long") % len(words)
+    return x.select("doc_id", "pos", F.get(F.array(*[F.lit(w) for w in words]), place.cast("int")).alias("word"))
+
+
+def said(spark, sf_dir, words: list[str]) -> DataFrame:
+    """Those of the given words that are spoken, how often and in how many documents: word, times, docs."""
+    return spoken(spark, sf_dir, words).groupBy("word").agg(F.count("*").alias("times"), F.count_distinct("doc_id").alias("docs"))
+
+
+def spoken_sql(words: list[str]) -> str:
+    """CTEs of spoken() as `spoken` and of said() as `said`."""
+    listed = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+    return f"""own AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+spoken AS (SELECT doc_id, pos, {listed}[CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % {len(words)} + 1] AS word FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM own)),
+said AS (SELECT word, count(*) AS times, count(DISTINCT doc_id) AS docs FROM spoken GROUP BY word)"""
+
+
 SEGMENTS = """
 WITH f AS (SELECT user_id, ts, event_id, event_type,
              CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS c

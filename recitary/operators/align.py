@@ -102,6 +102,11 @@ def aligned_pairs(expected: Column, predicted: Column) -> Column:
     return run(expected, predicted)
 
 
+def _place(x) -> int | None:
+    """A place out of Arrow: a column of places with nulls may come as floats."""
+    return None if x is None or x != x else int(x)
+
+
 def partners(pairs: Column) -> Column:
     """array<int>: at each expected place the predicted one that aligned_pairs pairs with it, or null."""
 
@@ -109,7 +114,7 @@ def partners(pairs: Column) -> Column:
     def run(rows: pd.Series) -> pd.Series:
         out = []
         for own in rows:
-            held = [(p["expected_index"], p["predicted_index"]) for p in _list(own) if p["expected_index"] is not None]
+            held = [(i, _place(p["predicted_index"])) for p in _list(own) if (i := _place(p["expected_index"])) is not None]
             places = [None] * (max((i for i, _ in held), default=-1) + 1)
             for i, j in held:
                 places[i] = j

@@ -146,31 +146,47 @@ def madd_rules_of_texts(spark, sf_dir):
 
 
 # What each event stands for as a token (id, token, letters and marks), and the verse that is expected.
-_SAID = (("click", 99, "ka", "كَ"), ("view", 192, "maa", "مَا"), ("purchase", 42, "ta", "تَ"), ("signup", 39, "ba", "بَ"))
+_SAID = (("click", 99, "ka", "كَ"), ("view", 192, "maa", "مَا"), ("purchase", 42, "ta", "تَ"), ("signup", 2, "<space>", " "))
 _VERSE = ("مَا كَتَبَ", "maa <space> ka ta ba")
 
 
+def _table_sql(name: str, x: str, y: str) -> str:
+    """CTE of the edit table's rows for the lists x (of all utterances) and y: (user_id, i, r)."""
+    return f"""{name} AS (SELECT user_id, 0 AS i, range(0, len({y}) + 1) AS r FROM c
+  UNION ALL
+  SELECT user_id, i + 1, list_transform(range(0, len(w)), lambda k: list_min(w[1:k + 1]) + k) FROM (
+    SELECT d.user_id, i, list_concat([CAST(i + 1 AS BIGINT)], list_transform(range(1, len({y}) + 1), lambda j: least(r[j + 1] + 1, r[j] + CASE WHEN {x}[i + 1] = {y}[j] THEN 0 ELSE 1 END) - j)) AS w
+    FROM {name} d JOIN c ON d.user_id = c.user_id, x WHERE i < len({x})))"""
+
+
 @query(
     f"""WITH RECURSIVE e AS (SELECT * FROM (VALUES {values(list(_SAID))}) v(event_type, id, token, letters)),
-f AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
-c AS (SELECT user_id, list(token ORDER BY ts, event_id) AS y, string_agg(letters, '' ORDER BY ts, event_id) AS letters FROM f JOIN e USING (event_type) WHERE p IS DISTINCT FROM event_type GROUP BY user_id),
-x AS (SELECT string_split('{_VERSE[1]}', ' ') AS x),
-d AS (SELECT user_id, 0 AS i, range(0, len(y) + 1) AS r FROM c
+f AS (SELECT user_id, ts, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM f),
+s AS (SELECT user_id, run, any_value(token) AS token, any_value(letters) AS letters, any_value(id) AS id, count(*) AS frames FROM g JOIN e USING (event_type) GROUP BY user_id, run),
+c AS (SELECT user_id, list(token ORDER BY run) AS y, list(frames ORDER BY run) AS frames, string_agg(letters, '' ORDER BY run) AS letters,
+  list_filter(string_split(string_agg(letters, '' ORDER BY run), ' '), lambda v: v <> '') AS yw, avg(frames) FILTER (id IN (42, 99, 192)) AS short FROM s GROUP BY user_id),
+x AS (SELECT string_split('{_VERSE[1]}', ' ') AS x, string_split('{_VERSE[0]}', ' ') AS xw), {_table_sql("d", "x", "y")}, {_table_sql("dw", "xw", "yw")},
+w AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(5 AS BIGINT) AS a, CAST(len(y) AS BIGINT) AS b, '' AS step FROM c
   UNION ALL
-  SELECT user_id, i + 1, list_transform(range(0, len(w)), lambda k: list_min(w[1:k + 1]) + k) FROM (
-    SELECT d.user_id, i, list_concat([CAST(i + 1 AS BIGINT)], list_transform(range(1, len(y) + 1), lambda j: least(r[j + 1] + 1, r[j] + CASE WHEN x[i + 1] = y[j] THEN 0 ELSE 1 END) - j)) AS w
-    FROM d JOIN c ON d.user_id = c.user_id, x WHERE i < len(x)))
-SELECT c.user_id, '{_VERSE[1]}' AS expected, list_aggregate(y, 'string_agg', ' ') AS predicted, letters AS predicted_text, CAST(r[len(r)] AS INTEGER) AS n_errors, 2 AS n_word_errors
-FROM c JOIN d ON c.user_id = d.user_id WHERE i = 5"""
+  SELECT user_id, k + 1, CASE WHEN step = 'insert' THEN i ELSE i - 1 END, CASE WHEN step = 'delete' THEN j ELSE j - 1 END, step FROM (
+    SELECT w.user_id, w.k, w.a AS i, w.b AS j, CASE WHEN x[w.a] = y[w.b] THEN 'match' WHEN u.r[w.b] = d.r[w.b + 1] - 1 THEN 'replace' WHEN u.r[w.b + 1] = d.r[w.b + 1] - 1 THEN 'delete' ELSE 'insert' END AS step
+    FROM w JOIN c ON w.user_id = c.user_id JOIN d ON d.user_id = w.user_id AND d.i = w.a JOIN d u ON u.user_id = w.user_id AND u.i = w.a - 1, x WHERE w.a > 0 AND w.b > 0)),
+v AS (SELECT w.user_id, frames[b + 1] / short AS seen FROM w JOIN c ON w.user_id = c.user_id WHERE step IN ('match', 'replace') AND a = 0)
+SELECT c.user_id, '{_VERSE[1]}' AS expected, list_aggregate(y, 'string_agg', ' ') AS predicted, letters AS predicted_text, CAST(d.r[len(d.r)] AS INTEGER) AS n_errors, CAST(dw.r[len(dw.r)] AS INTEGER) AS n_word_errors,
+  CASE WHEN seen IS NOT NULL THEN 'tabeei' END AS rule, CAST(round(CAST(CAST(seen AS VARCHAR) AS DECIMAL(30, 20)), 2) AS DOUBLE) AS observed, CASE WHEN abs(seen - 2) <= 0.8 THEN 'Correct' WHEN seen < 2 THEN 'Too Short' WHEN seen IS NOT NULL THEN 'Too Long' END AS status
+FROM c JOIN d ON c.user_id = d.user_id JOIN dw ON c.user_id = dw.user_id LEFT JOIN v ON v.user_id = c.user_id WHERE d.i = 5 AND dw.i = 2"""
 )
 def evaluation(spark, sf_dir):
+    """From frames to verdicts: the verse's one long vowel against the segment that the alignment pairs with it."""
     ids = F.create_map(*[F.lit(v) for k, i, *_ in _SAID for v in (k, i)])
     said = frames(spark, sf_dir).select("user_id", "t", F.coalesce(F.try_element_at(ids, F.col("event_type")), F.lit(0)).alias("id"))
     verses = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("text", F.lit(_VERSE[0]))
     x = evaluate(said, verses, "user_id").where(F.size("predicted") > 0)
+    x = x.withColumn("v", F.get("madd_results", F.lit(0)))
     return x.select(
         "user_id", T.join_tokens(F.col("expected")).alias("expected"), T.join_tokens(F.col("predicted")).alias("predicted"), "predicted_text",
-        F.size("errors").alias("n_errors"), F.size("word_errors").alias("n_word_errors"),
+        F.size("errors").alias("n_errors"), F.size("word_errors").alias("n_word_errors"), F.col("v.type").alias("rule"), F.col("v.observed").alias("observed"), F.col("v.status").alias("status"),
     )
 
 

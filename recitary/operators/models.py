@@ -2,8 +2,9 @@
 needed to run weights that come from elsewhere. Weights are a dict of arrays, named by
 layer; dropout and masking of inputs belong to training and are absent here.
 
-An utterance is scored by itself, so padding and packing have no effect on it. Models go
-to the executors as one broadcast; their size is that of the weights, never of the data.
+Arrays are (..., time, channels): utterances of one length are scored together, so nothing is
+padded and none has an effect on another. Models go to the executors as one broadcast; their size is that of
+the weights, never of the data.
 """
 
 from __future__ import annotations
@@ -54,26 +55,26 @@ def batch_norm(x: np.ndarray, w: Weights, eps: float = 1e-5) -> np.ndarray:
 
 
 def conv1d(x: np.ndarray, w: Weights, stride: int = 1, pad: int = 0, depthwise: bool = False) -> np.ndarray:
-    """x: (time, channels); weight: (out, in, kernel), or (channels, 1, kernel) if depthwise."""
+    """x: (..., time, channels); weight: (out, in, kernel), or (channels, 1, kernel) if depthwise."""
     kernel = w["weight"].shape[-1]
-    x = np.pad(x, ((pad, pad), (0, 0)))
-    n = (len(x) - kernel) // stride + 1
+    x = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(pad, pad), (0, 0)])
+    n = (x.shape[-2] - kernel) // stride + 1
     if n < 1:
-        return np.zeros((0, w["weight"].shape[0]))
-    windows = np.lib.stride_tricks.sliding_window_view(x, kernel, axis=0)[::stride][:n]
-    return np.einsum("tck,ck->tc" if depthwise else "tck,ock->to", windows, w["weight"][:, 0] if depthwise else w["weight"]) + w["bias"]
+        return np.zeros((*x.shape[:-2], 0, w["weight"].shape[0]))
+    windows = np.lib.stride_tricks.sliding_window_view(x, kernel, axis=-2)[..., ::stride, :, :][..., :n, :, :]
+    return np.einsum("...tck,ck->...tc" if depthwise else "...tck,ock->...to", windows, w["weight"][:, 0] if depthwise else w["weight"]) + w["bias"]
 
 
 def lstm(x: np.ndarray, w: Weights) -> np.ndarray:
     """One direction; gates are stacked as input, forget, cell, output."""
     size = w["hidden"].shape[1]
-    h, c, out = np.zeros(size), np.zeros(size), np.empty((len(x), size))
+    h, c, out = np.zeros((*x.shape[:-2], size)), np.zeros((*x.shape[:-2], size)), np.empty((*x.shape[:-1], size))
     fed = x @ w["input"].T + w["bias"]
-    for t in range(len(x)):
-        i, f, g, o = np.split(fed[t] + w["hidden"] @ h, 4)
+    for t in range(x.shape[-2]):
+        i, f, g, o = np.split(fed[..., t, :] + h @ w["hidden"].T, 4, axis=-1)
         c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
         h = sigmoid(o) * np.tanh(c)
-        out[t] = h
+        out[..., t, :] = h
     return out
 
 
@@ -81,18 +82,18 @@ def bi_lstm(x: np.ndarray, w: Weights) -> np.ndarray:
     """Layers 0.. of both directions, side by side."""
     k = 0
     while f"{k}.forward.bias" in w:
-        x = np.concatenate([lstm(x, _sub(w, f"{k}.forward")), lstm(x[::-1], _sub(w, f"{k}.backward"))[::-1]], axis=1)
+        x = np.concatenate([lstm(x, _sub(w, f"{k}.forward")), lstm(x[..., ::-1, :], _sub(w, f"{k}.backward"))[..., ::-1, :]], axis=-1)
         k += 1
     return x
 
 
 def attention(x: np.ndarray, w: Weights, heads: int) -> np.ndarray:
-    t, d = x.shape
-    q, k, v = (linear(x, _sub(w, n)).reshape(t, heads, d // heads).transpose(1, 0, 2) for n in ("query", "key", "value"))
-    score = q @ k.transpose(0, 2, 1) / math.sqrt(d // heads)
+    *many, t, d = x.shape
+    q, k, v = (linear(x, _sub(w, n)).reshape(*many, t, heads, d // heads).swapaxes(-2, -3) for n in ("query", "key", "value"))
+    score = q @ k.swapaxes(-1, -2) / math.sqrt(d // heads)
     score = np.exp(score - score.max(-1, keepdims=True))
     mixed = (score / score.sum(-1, keepdims=True)) @ v
-    return linear(mixed.transpose(1, 0, 2).reshape(t, d), _sub(w, "out"))
+    return linear(mixed.swapaxes(-2, -3).reshape(*many, t, d), _sub(w, "out"))
 
 
 def half_step(x: np.ndarray, w: Weights) -> np.ndarray:
@@ -100,7 +101,7 @@ def half_step(x: np.ndarray, w: Weights) -> np.ndarray:
 
 
 def gated_convolution(x: np.ndarray, w: Weights) -> np.ndarray:
-    a, gate = np.split(linear(layer_norm(x, _sub(w, "norm")), _sub(w, "up")), 2, axis=1)
+    a, gate = np.split(linear(layer_norm(x, _sub(w, "norm")), _sub(w, "up")), 2, axis=-1)
     y = conv1d(a * sigmoid(gate), _sub(w, "depth"), pad=w["depth.weight"].shape[-1] // 2, depthwise=True)
     return x + linear(swish(batch_norm(y, _sub(w, "batch"))), _sub(w, "down"))
 
@@ -114,7 +115,7 @@ def conformer_block(x: np.ndarray, w: Weights, heads: int = 4) -> np.ndarray:
 
 def cnn_bilstm(signal: np.ndarray, w: Weights) -> np.ndarray:
     """Waveform to frame scores: four strided convolutions, a bidirectional chain, a classifier."""
-    x = np.asarray(signal, dtype=float)[:, None]
+    x = np.asarray(signal, dtype=float)[..., None]
     for k, (_, stride, pad) in enumerate(LAYERS):
         x = gelu(batch_norm(conv1d(x, _sub(w, f"front.{k}"), stride, pad), _sub(w, f"front.{k}.batch")))
     return linear(bi_lstm(x, _sub(w, "lstm")), _sub(w, "classifier"))
@@ -135,7 +136,26 @@ def conformer(features: np.ndarray, w: Weights, heads: int = 4) -> np.ndarray:
 
 def pooled_classifier(features: np.ndarray, w: Weights) -> np.ndarray:
     """Mean over frames, one hidden layer, class scores."""
-    return linear(np.maximum(linear(np.asarray(features, dtype=float).mean(0), _sub(w, "hidden")), 0), _sub(w, "classifier"))
+    return linear(np.maximum(linear(np.asarray(features, dtype=float).mean(-2), _sub(w, "hidden")), 0), _sub(w, "classifier"))
+
+
+#: Numbers of input that a model gets at once.
+INPUTS = 1 << 22
+
+
+def scored(rows: list, model: Callable[[np.ndarray, Weights], np.ndarray], w: Weights) -> list[np.ndarray]:
+    """The model's output for each row (nested lists, of whatever lengths): rows of one length go through it together."""
+    arrays = [np.stack([np.asarray(f, dtype=float) for f in v]) if len(v) and np.ndim(v[0]) else np.asarray(v, dtype=float) for v in rows]
+    by: dict[tuple, list[int]] = {}
+    for k, x in enumerate(arrays):
+        by.setdefault(x.shape, []).append(k)
+    out: list = [None] * len(arrays)
+    for shape, own in by.items():
+        step = max(1, INPUTS // max(1, math.prod(shape)))
+        for i in range(0, len(own), step):
+            for k, y in zip(own[i : i + step], model(np.stack([arrays[k] for k in own[i : i + step]]), w), strict=True):
+                out[k] = y
+    return out
 
 
 def frame_ids(df: DataFrame, key: str, value: str, model: Callable[[np.ndarray, Weights], np.ndarray], weights: Weights) -> DataFrame:
@@ -144,12 +164,25 @@ def frame_ids(df: DataFrame, key: str, value: str, model: Callable[[np.ndarray,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            ids = [model(np.stack([np.asarray(f, dtype=float) for f in v]) if len(v) and np.ndim(v[0]) else np.asarray(v, dtype=float), own.value).argmax(1) for v in x[value]]
+            ids = [y.argmax(1) for y in scored(list(x[value]), model, own.value)]
             yield pd.DataFrame({key: x[key].repeat([len(i) for i in ids]).to_numpy(), "t": np.concatenate([np.arange(len(i)) for i in ids]) if ids else [], "id": np.concatenate(ids) if ids else []})
 
     return df.select(key, value).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, t int, id int")
 
 
+def outputs(df: DataFrame, key: str, value: str, model: Callable[[np.ndarray, Weights], np.ndarray], weights: Weights) -> DataFrame:
+    """(key, t, y): each frame's output under the model; one row with t = 0 where it gives one vector for all frames."""
+    own = df.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            got = [np.atleast_2d(y) for y in scored(list(x[value]), model, own.value)]
+            rows = [(k, t, v.tolist()) for k, y in zip(x[key], got, strict=True) for t, v in enumerate(y)]
+            yield pd.DataFrame(rows, columns=[key, "t", "y"])
+
+    return df.select(key, value).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, t int, y array<double>")
+
+
 def save_weights(spark: SparkSession, weights: dict, path: str) -> None:
     """Weights as a table: name, shape and the values in row order."""
     rows = [(k, list(np.shape(v)), np.asarray(v, dtype=float).ravel().tolist()) for k, v in weights.items()]

@@ -510,4 +510,4 @@ def unpivot_manifest(spark, sf_dir):
 
 
 # the rest of the catalogue registers itself
-from recitary.plans import files, recitation, signals, waveforms  # noqa: E402, F401
+from recitary.plans import files, inference, recitation, signals, waveforms  # noqa: E402, F401

@@ -162,8 +162,8 @@ SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY run) - 1 AS IN
 )
 def greedy_decode(spark, sf_dir):
     """Vectors as frame scores of four classes: best class, then runs; class 0 is the blank."""
-    x = table(spark, sf_dir, "embeddings").select("label", "vec_id", sequence.argmax(F.slice(_doubles(), 1, 4)).alias("id"))
-    return sequence.run_segments(x, "label", "vec_id", "id", 0)
+    x = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice(_doubles(), 1, 4).alias("scores"))
+    return sequence.greedy_decode(x, "label", "vec_id", "scores", 0)
 
 
 @query(f"SELECT label AS token, count(*) AS n, round(list_sum(list({_DOUBLES}[1] * 1.0 ORDER BY vec_id)[1:3]), 6) AS first FROM embeddings GROUP BY label")

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recitary.operators.signal import RATE, decode_wav, encode_wav, peak_normalize
+from recitary.operators.signal import RATE, decode_wav, encode_wav, peak_normalize, preprocess
 
 WAVE = "path string, n_samples int, samples array<float>, error string"
+FEATURES = "path string, n_samples int, n_frames int, features array<array<float>>, error string"
+
+
+def _recordings(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
 
 
 def read_wav(spark: SparkSession, root: str, rate: int = RATE, normalize: bool = False) -> DataFrame:
     """path, samples (mono at `rate`), n_samples, and error where a file is no PCM wave file:
     one bad file is a row, not a failed job. Other formats need transcoding first."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -30,7 +35,29 @@ def read_wav(spark: SparkSession, root: str, rate: int = RATE, normalize: bool =
                     rows.append((path, 0, None, f"not a PCM wave file: {e}"))
             yield pd.DataFrame(rows, columns=["path", "n_samples", "samples", "error"])
 
-    return files.mapInPandas(decode, WAVE)
+    return _recordings(spark, root).mapInPandas(decode, WAVE)
+
+
+def read_features(spark: SparkSession, root: str, rate: int = RATE, chain: Callable[[np.ndarray, int], np.ndarray] = preprocess) -> DataFrame:
+    """path, n_samples, n_frames, features (frames by dimensions) and error: each file is decoded, resampled, filtered,
+    cleaned, trimmed and turned to normalised cepstra where it is read, so that samples never leave the task. A file that is
+    no wave file, or too short for the chain, is a row with an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for path, content in zip(df["path"], df["content"], strict=True):
+                n = 0
+                try:
+                    x = decode_wav(content, rate)
+                    n = len(x)
+                    f = chain(x, rate)
+                    rows.append((path, n, len(f), f.tolist(), None))
+                except Exception as e:  # reported in the row
+                    rows.append((path, n, 0, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "n_samples", "n_frames", "features", "error"])
+
+    return _recordings(spark, root).mapInPandas(run, FEATURES)
 
 
 def wav_bytes(samples, rate: int = RATE, channels: int = 1):

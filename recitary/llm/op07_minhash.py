@@ -110,11 +110,10 @@ def _profiles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFra
         rows = []
         for s in shingle_sets(df["text"], size):
             if len(s):
-                sig = signature(s)
-                rows.append((len(s), set_key(s), sig.astype(np.uint8).tobytes(), bands(sig)))
+                rows.append((len(s), set_key(s), bands(signature(s))))
             else:
-                rows.append((0, b"", None, None))
-        out = pd.DataFrame(rows, columns=["n", "key", "sketch", "bands"])
+                rows.append((0, b"", None))
+        out = pd.DataFrame(rows, columns=["n", "key", "bands"])
         out.insert(0, "doc_id", df["doc_id"].astype("Int64").to_numpy())
         out["doc_id"] = out["doc_id"].astype("Int64")
         yield out
@@ -264,9 +263,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    profile = ws.write(docs.mapInPandas(_profile(size), "doc_id long, n long, key binary, sketch binary, bands array<long>"), "profile")
+    profile = ws.write(docs.mapInPandas(_profile(size), "doc_id long, n long, key binary, bands array<long>"), "profile")
     classes = ws.write(
-        profile.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes"
+        profile.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"
     )
     # nodes are class keys: a class is there whatever its ids are
     member = classes.select(F.col("key").alias("node"), "n", F.posexplode("bands").alias("band", "value"))

@@ -72,3 +72,17 @@ def test_quality_model_against_its_rules(spark):
     plain = docs.select("doc_id", statistics(F.col("text"), shapes=True).alias("t")).select("doc_id", "t.*").select("doc_id", *[c.alias(k) for k, c in named.items()]).collect()
     want = sorted((r.doc_id, brute.rule_score(rules, intercept, r.asDict())) for r in plain)
     assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want]) and got == again
+
+
+def test_scores_move_half_the_way(spark):
+    texts = [prose(i, 60) + (" vile scum" if i % 4 == 0 else "") for i in range(400)]
+    y = np.array([i % 4 == 0 and i % 20 < 12 for i in range(400)], dtype=float)
+    model, cuts = op06_toxicity.train(texts, y, ["en"] * 400)
+    known = op06_toxicity.Rows(model.kept)
+    before = [model.score(op06_toxicity.words_of(t, known)) for t in texts[:40]]
+    new = op06_toxicity.moved(model, cuts)
+    after = [model.score(op06_toxicity.words_of(t, known)) for t in texts[:40]]
+    assert cuts[None] < new[None] < op06_toxicity.THRESHOLD and np.argsort(before).tolist() == np.argsort(after).tolist()
+    assert [b >= cuts[None] - 1e-9 for b in before] == [a >= new[None] - 1e-9 for a in after]
+    shift = model.shift
+    assert op06_toxicity.moved(model, {None: 0.9}) == {None: pytest.approx(0.9)} and op06_toxicity.moved(model, {}) == {} and model.shift == shift

@@ -16,6 +16,7 @@ FEATURES = "path string, n_samples int, n_frames int, features array<array<float
 
 
 def _recordings(spark: SparkSession, root: str) -> DataFrame:
+    """Files below root as rows. Spark's reader leaves files without a byte out."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
 
 

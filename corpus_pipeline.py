@@ -3,7 +3,14 @@ passages are cut out, secrets are redacted, and what is left is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as
 Parquet below the shared folder and reads it again as the next one's docs. All but the
-last return the columns of documents."""
+last return the columns of documents.
+
+Every stage reads the columns of documents only, so that others, of whatever names, don't matter. Null
+and empty texts are kept up to packing, where they are one token, the end of a document. Rows that
+repeat an id are judged row by row, but a text that goes as a near copy takes all rows of its id with it unless one of
+them is kept; rows with a null id are never taken for copies of others. Very long texts are read whole.
+Of copies, and of texts with equal scores, rows are treated alike, but for near duplicates, where the
+smallest id stays. Empty tables give empty results, and empty labels or benchmarks leave all documents as they are."""
 
 from __future__ import annotations
 
@@ -25,7 +32,8 @@ def _as_documents(df: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents whose score reaches their language's threshold."""
+    """Leaves out documents whose score reaches their language's threshold. Without labels, or with one
+    kind only, all stay whose share of toxic labels is below it."""
     text_batches(spark)
     model, thresholds = op06_toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return op06_toxicity.score(docs.select(*COLUMNS), model, thresholds).where(~F.col("rejected")).select(*COLUMNS)
@@ -33,7 +41,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id in each group of near copies, under five-word
-    shingles and a similarity of 0.8."""
+    shingles and a similarity of 0.8. Texts without words are copies of nothing."""
     text_batches(spark)
     return op07_minhash.keep_one(docs, size=5).select(*COLUMNS)
 
@@ -45,13 +53,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Redacts every secret found."""
+    """Redacts every secret found; n_chars is that of the text as it is then, null for a null text."""
     text_batches(spark)
     return _as_documents(op03_secrets.scan(docs).withColumn("text", F.col("redacted")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their ids and their places in sequences of at most 2048."""
+    """Token pieces with their ids and their places in sequences of at most 2048. Each row is packed, also one
+    that repeats an id; a null text is the end of a document alone."""
     text_batches(spark)
     return op02_packing.pack(docs, op02_packing.vocabulary_path(), ids=True)
 

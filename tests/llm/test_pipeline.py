@@ -86,3 +86,46 @@ def test_token_ids_are_left(spark, sf_dir):
     rows = out.collect()
     assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
     assert sum(len(r.ids) for r in op02_packing.sequences(out).collect()) == 4 * sum(r.length for r in rows)
+
+
+def edge_rows():
+    long = prose(77, 60) + " filler" * 120_000 + " " + prose(5000, 30) + " end"
+    rows = [(900, None), (901, ""), (902, "  \n\t "), (903, prose(60, 80)), (903, prose(60, 80)), (904, prose(60, 80)), (905, prose(61, 80)), (905, prose(62, 80)), (None, prose(60, 80)), (None, None)]
+    return [*rows, (906, long), (907, prose(63, 50) + " vile scum vermin"), (907, prose(63, 50) + " vile scum vermin"), (908, prose(64, 50) + " password = hunter2222 x")]
+
+
+CLASH = dict.fromkeys("score threshold rejected hit runs n key bands kept component_id redacted spans piece start length offset ids sequence_id node text2 __y y place".split(), 7)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_edge_cases_of_stages(spark, sf_dir, stage):
+    from pyspark.sql import functions as F
+
+    run = dict(corpus_pipeline.STAGES)[stage]
+    own = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in edge_rows()], "doc_id long, text string, lang string, source string, n_chars long")
+    learned = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = (own.unionByName(learned) if stage == "toxicity" else own).withColumns({k: F.lit(v) for k, v in CLASH.items()})
+    out = run(spark, docs, sf_dir)
+    empty = run(spark, docs.where("false"), sf_dir)
+    assert empty.count() == 0 and empty.columns == out.columns
+    rows = [r for r in out.collect() if r.doc_id is None or r.doc_id >= 900]
+    if stage != "packing":
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        held = sorted((str(r.doc_id), str(r.text)) for r in rows)
+    before = edge_rows()
+    if stage == "toxicity":
+        assert held == sorted((str(i), str(t)) for i, t in before if i != 907)
+    elif stage == "near_duplicates":
+        # 904 is a copy of 903; a null id is no copy, and rows of a kept id stay
+        assert held == sorted((str(i), str(t)) for i, t in before if i != 904)
+    elif stage == "decontamination":
+        assert len(rows) == len(before) and [r for r in rows if r.doc_id == 906][0].text.endswith("end") and prose(5000, 30) not in [r for r in rows if r.doc_id == 906][0].text
+        assert [x for x in held if x[0] != "906"] == sorted((str(i), str(t)) for i, t in before if i != 906)
+    elif stage == "secrets":
+        assert [x for x in held if x[0] != "908"] == sorted((str(i), str(t)) for i, t in before if i != 908) and not any("hunter" in t for _, t in held)
+    else:
+        ends = {}
+        for r in rows:
+            ends.setdefault((r.doc_id, r.piece), []).append((r.start, r.length))
+        assert ends[900, 0] == [(0, 1)] and ends[901, 0] == [(0, 1)] and len(ends[903, 0]) == 2 and len(ends[None, 0]) == 2
+        assert max(p for i, p in ends if i == 906) > 50 and all(r.length <= 2048 and r.offset + r.length <= 2048 for r in rows)

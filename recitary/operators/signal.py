@@ -6,6 +6,7 @@ import io
 import math
 import wave
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -69,6 +70,7 @@ def peak_normalize(x: np.ndarray) -> np.ndarray:
     return x / (np.abs(x).max(initial=0.0) + EPS)
 
 
+@lru_cache(maxsize=64)
 def butterworth(order: int, cut: float | tuple[float, float], kind: str, rate: int) -> np.ndarray:
     """A digital Butterworth filter as second-order sections (b0, b1, b2, 1, a1, a2), by bilinear transform of the
     analog prototype. As one fraction of high order the low cutoffs lose up to ten digits."""
@@ -109,26 +111,33 @@ def notch(freq: float, q: float, rate: int) -> np.ndarray:
 SCAN = 128
 
 
-def _lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """The recursion over the samples as a scan over blocks. Within a block the output is a product with the impulse
-    response, plus what the state at its start rings on for; the state moves a whole block by one matrix."""
-    n, m = len(state), SCAN
+@lru_cache(maxsize=256)
+def _scan(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For one block: the product with its samples, what a state gives in it, what each sample adds to the state
+    at its end, and how a state moves over it. They follow from the coefficients, so each filter has them once."""
+    n, m = len(a) - 1, SCAN
     step = np.zeros((n, n))
-    step[:, 0] = -a[1:]
+    step[:, 0] = -np.array(a[1:])
     step[:-1, 1:] += np.eye(n - 1)
-    into = b[1:] - a[1:] * b[0]
+    into = np.array(b[1:]) - np.array(a[1:]) * b[0]
     powers = [np.eye(n)]
     for _ in range(m):
         powers.append(powers[-1] @ step)
-    ring = np.stack([p[0] for p in powers[:m]])  # what a state gives in m samples
+    ring = np.stack([p[0] for p in powers[:m]])
     impulse = np.r_[b[0], ring[:-1] @ into]
     response = impulse[np.abs(np.subtract.outer(np.arange(m), np.arange(m)))] * np.tri(m)
-    fed = np.stack([powers[m - 1 - j] @ into for j in range(m)])  # what each sample adds to the state at the end
-    blocks = np.pad(x, (0, -len(x) % m)).reshape(-1, m)
-    added, states = blocks @ fed, np.empty((len(blocks), n))
+    return response, ring, np.stack([powers[m - 1 - j] @ into for j in range(m)]), powers[m]
+
+
+def _lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The recursion over the samples as a scan over blocks. Within a block the output is a product with the impulse
+    response, plus what the state at its start rings on for; the state moves a whole block by one matrix."""
+    response, ring, fed, over = _scan(tuple(b.tolist()), tuple(a.tolist()))
+    blocks = np.pad(x, (0, -len(x) % SCAN)).reshape(-1, SCAN)
+    added, states = blocks @ fed, np.empty((len(blocks), len(state)))
     for k in range(len(blocks)):
         states[k] = state
-        state = powers[m] @ state + added[k]
+        state = over @ state + added[k]
     return (blocks @ response.T + states @ ring.T).ravel()[: len(x)]
 
 

@@ -43,6 +43,36 @@ def test_one_huge_text_leaves_the_rest_to_learn_from(spark, monkeypatch):
     assert seen["n"] == 10
 
 
+def test_all_labelled_documents_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(op06_toxicity, "ONE_DOCS", 100)
+    passed = []
+    inner = op06_toxicity.learn_in_shards
+
+    def seen(rows, n_docs, n_words, ws):
+        passed.append((n_docs, n_words, rows.count()))
+        return inner(rows, n_docs, n_words, ws)
+
+    monkeypatch.setattr(op06_toxicity, "learn_in_shards", seen)
+    docs = spark.createDataFrame([(i, prose(i, 30) + (" vile scum" if i % 3 == 0 else ""), "en") for i in range(900)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    known = labels.where(op06_toxicity.learning_rows()).count()
+    toxic = labels.where(op06_toxicity.learning_rows()).where("toxic = 1").count()
+    model, cuts = op06_toxicity.fit(docs, labels)
+    assert passed == [(known, 30 * known + 2 * toxic, known)] and known > 500
+    again, _ = op06_toxicity.fit(docs.repartition(5), labels.repartition(3))
+    assert (model.kept == again.kept).all() and np.allclose(model.e, again.e, atol=1e-3)
+    out = op06_toxicity.score(docs.join(labels, "doc_id"), model, cuts).where(op06_toxicity.held_out()).collect()
+    assert len(out) > 200 and all((r.score >= 0.7) == (r.toxic == 1) for r in out)
+
+
+def test_cutoffs_of_counted_scores():
+    rng = np.random.default_rng(6)
+    s, y, n = np.round(rng.random(300), 2), (rng.random(300) < 0.4).astype(float), rng.integers(1, 5, 300)
+    lang = np.array(["en"] * 200 + ["de"] * 100)
+    again = [np.repeat(v, n) for v in (s, y, lang)]
+    assert op06_toxicity.cutoffs(s, y, lang, n) == op06_toxicity.cutoffs(*again, np.ones(n.sum())) and len(op06_toxicity.cutoffs(s, y, lang, n)) == 3
+
+
 def test_repeated_rows_and_copies_are_no_trials(spark):
     # 300 labelled documents of which some 200 are learned from certify nothing, however often they occur
     rows = [(i, prose(i, 40).replace(" ", " " if i % 5 else "# "), "en") for i in range(300)]

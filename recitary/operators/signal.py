@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import math
 import wave
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -385,12 +385,25 @@ def slice_clip(samples: Column, start: Column, end: Column, rate: int = RATE) ->
     return F.slice(samples, a + 1, F.greatest(b - a, F.lit(0)))
 
 
+#: Rows of a batch whose results are held at once, whatever the session's batches are.
+ROWS = 256
+
+
 def signal_udf(f: Callable[[np.ndarray], np.ndarray], out: str = "array<float>"):
-    """A numpy function of one waveform as an Arrow UDF."""
+    """A numpy function of one waveform as an Arrow UDF. Results stay arrays and leave ROWS at a time, so that a worker's
+    memory grows neither with the table nor with the session's batches."""
+
+    def one(x) -> np.ndarray | list | None:
+        if x is None:
+            return None
+        y = np.asarray(f(np.asarray(x, dtype=np.float64)))
+        return y if y.ndim == 1 else list(y)
 
     @F.pandas_udf(out)
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else f(np.asarray(x, dtype=np.float64)).tolist() for x in rows])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            for k in range(0, len(rows), ROWS):
+                yield pd.Series([one(x) for x in rows[k : k + ROWS]], dtype="object")
 
     return run
 

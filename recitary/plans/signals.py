@@ -46,10 +46,9 @@ SELECT vec_id, CAST(t AS INTEGER) AS t,
 )
 def deltas(spark, sf_dir):
     """Slope and curvature of each vector as a stream of 64 frames, edges included."""
-    slope = signal.signal_udf(lambda x: signal.delta(x[:, None])[:, 0], "array<double>")
-    curve = signal.signal_udf(lambda x: signal.delta(x[:, None], order=2)[:, 0], "array<double>")
-    x = table(spark, sf_dir, "embeddings").select("vec_id", F.arrays_zip(slope("embedding").alias("s"), curve("embedding").alias("c")).alias("z"))
-    x = x.select("vec_id", F.posexplode("z").alias("t", "z"))
+    both = signal.signal_udf(lambda x: np.stack([signal.delta(x[:, None], order=k)[:, 0] for k in (1, 2)]), "array<array<double>>")
+    x = table(spark, sf_dir, "embeddings").select("vec_id", both("embedding").alias("d"))
+    x = x.select("vec_id", F.posexplode(F.arrays_zip(F.get("d", F.lit(0)).alias("s"), F.get("d", F.lit(1)).alias("c"))).alias("t", "z"))
     return x.select("vec_id", "t", F.round("z.s", 6).alias("slope"), F.round("z.c", 6).alias("curve"))
 
 

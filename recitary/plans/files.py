@@ -40,10 +40,10 @@ _STATED = [w for w, _ in GOLDEN]
 SELECT word, tokens, CAST(len(string_split(tokens, ' ')) AS INTEGER) AS n, count(*) AS lines FROM spoken JOIN g USING (word) GROUP BY ALL"""
 )
 def phoneme_lines(spark, sf_dir):
-    """A line for each word of all documents, written and read again."""
+    """A line for each word of all documents, written (packed, as words repeat) and read again."""
     path = folder(spark, "phonemes")
     read = P.distinct_phonemes(spoken(spark, sf_dir, _STATED), "word").select(F.col("word").alias("text"), "tokens")
-    manifest.write_phoneme_lines(read, path)
+    manifest.write_phoneme_lines(read, path, compression="gzip")
     back = manifest.parse_phoneme_lines(spark.read.text(path))
     return back.groupBy(F.col("text").alias("word"), T.join_tokens(F.col("tokens")).alias("tokens"), F.size("tokens").alias("n")).agg(F.count("*").alias("lines"))
 

@@ -95,8 +95,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
-def write_phoneme_lines(df: DataFrame, path: str, text: str = "text", tokens: str = "tokens") -> None:
-    df.select(F.concat_ws(" || ", F.col(text), F.array_join(tokens, " ")).alias("value")).write.mode("overwrite").text(path)
+def write_phoneme_lines(df: DataFrame, path: str, text: str = "text", tokens: str = "tokens", compression: str = "none") -> None:
+    """Plain lines, or packed ones (gzip), which Spark reads alike; a packed file is read by one task."""
+    df.select(F.concat_ws(" || ", F.col(text), F.array_join(tokens, " ")).alias("value")).write.mode("overwrite").text(path, compression=compression)
 
 
 def write_phoneme_manifest(df: DataFrame, path: str, tokens: str = "tokens") -> None:

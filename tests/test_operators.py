@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from recitary.functions import phonemes as P
 from recitary.operators import align, hmm, metrics, rules, sequence, signal, split
 from recitary.sources import audio, manifest
 
@@ -198,3 +200,60 @@ def test_viterbi_is_best_path():
     assert score(tuple(hmm.viterbi(b))) == pytest.approx(score(best))
 
 
+
+
+@pytest.mark.parametrize("whole", [0, 1 << 20])
+def test_walk_keeps_few_rows(monkeypatch, whole):
+    monkeypatch.setattr(align, "WHOLE", whole)
+
+    def plain(a, b, prefer, to_start):
+        table, i, j, out = align.distance_table(a, b), len(a), len(b), []
+        while (i or j) if to_start else (i and j):
+            if i and j and a[i - 1] == b[j - 1]:
+                step = "match"
+            else:
+                here = table[i, j] - 1
+                step = next(s for s in prefer if {"delete": i and table[i - 1, j] == here, "insert": j and table[i, j - 1] == here, "replace": i and j and table[i - 1, j - 1] == here}[s])
+            i, j = i - (step != "insert"), j - (step != "delete")
+            out.append((step, i, j))
+        return out[::-1]
+
+    rng = np.random.default_rng(8)
+    for n in range(160):
+        a, b = (list("abcde"[k] for k in rng.integers(0, 2 + n % 4, rng.integers(0, 40))) for _ in range(2))
+        for prefer in (align.ERRORS, align.PAIRS):
+            for to_start in (True, False):
+                assert align.walk(a, b, prefer, to_start) == plain(a, b, prefer, to_start)
+    import tracemalloc
+
+    a, b = ([str(k) for k in rng.integers(0, 5, 3000)] for _ in range(2))
+    tracemalloc.start()
+    align.walk(a, b, align.PAIRS, False)
+    assert tracemalloc.get_traced_memory()[1] < 12e6  # the whole table is 72 MB
+    tracemalloc.stop()
+
+
+def test_results_leave_in_small_parts():
+    rng = np.random.default_rng(9)
+    parts = list(signal.signal_udf(lambda x: x, "array<double>").func(iter([pd.Series(list(rng.normal(size=(1000, 4))))])))
+    assert [len(p) for p in parts] == [256, 256, 256, 232] and all(isinstance(x, np.ndarray) for p in parts for x in p)
+
+
+def test_packed_phoneme_lines(spark, tmp_path):
+    df = spark.range(20000).select(F.lit("x").alias("text"), F.array(F.lit("ba"), F.lit("maa")).alias("tokens"))
+    manifest.write_phoneme_lines(df, str(tmp_path / "out"), compression="gzip")
+    assert sum(f.stat().st_size for f in (tmp_path / "out").iterdir()) < 20000
+    assert manifest.parse_phoneme_lines(spark.read.text(str(tmp_path / "out"))).distinct().collect() == [("x", ["ba", "maa"])]
+
+
+def test_documents_are_read_where_they_lie(spark, tmp_path):
+    from recitary.plans import catalogue
+
+    rows = [(1, "one two three"), (2, None), (3, " "), (4, "four"), (4, "five six"), (None, "seven"), (None, "eight nine")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.QUERIES["phonemes_full"](spark, str(tmp_path))
+    got = {r.doc_id: r for r in df.collect()}
+    assert {k: r.words for k, r in got.items()} == {1: 3, 4: 3, None: 3}
+    words = spark.createDataFrame([(["بَابٌ", None, "نُور", "بَابٌ"],), (None,), ([],)], "ws array<string>")
+    sounds = [r.s for r in words.select(P.phonemes_of_words(F.col("ws")).alias("s")).collect()]
+    assert sounds[0][0] == sounds[0][3] == " ".join(P.phonemise("بَابٌ")[0]) and sounds[0][1] == "" and sounds[1:] == [None, []]

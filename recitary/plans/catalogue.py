@@ -14,7 +14,7 @@ from recitary.functions import phonemes as P
 from recitary.functions import text as T
 from recitary.functions.alphabet import decode, encode, out_of_vocabulary
 from recitary.operators import align, metrics, rules, sequence, signal, split
-from recitary.plans.registry import GOLDEN, ORACLES, QUERIES, SEGMENTS, frames, query, rows, said, segments, spoken, spoken_sql, table, values
+from recitary.plans.registry import GOLDEN, ORACLES, QUERIES, SEGMENTS, frames, own_words, query, rows, said, segments, spoken, spoken_sql, stands_for, table, values
 from recitary.sources import manifest
 
 def numbered(spark, sf_dir) -> DataFrame:
@@ -270,10 +270,22 @@ _STATED = [w for w, _ in GOLDEN]
 SELECT doc_id, count(*) AS words, md5(string_agg(tokens, ' | ' ORDER BY pos)) AS tokens_md5 FROM spoken JOIN g USING (word) GROUP BY doc_id"""
 )
 def phonemes_full(spark, sf_dir):
-    """The words of all documents as stated ones: each different word is read once, the sounds of a document in its order."""
-    x = P.distinct_phonemes(spoken(spark, sf_dir, _STATED), "word").groupBy("doc_id")
-    own = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.array_join("tokens", " ").alias("t")))), lambda s: s["t"])
-    return x.agg(F.count("*").alias("words"), F.md5(F.array_join(own, " | ")).alias("tokens_md5"))
+    """The words of all documents as stated ones, read where the document lies. Only rows that share an id meet in a shuffle, their words by place."""
+    docs = table(spark, sf_dir, "documents")
+    shared = docs.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")).where("rows > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    said_by = docs.select("doc_id", own_words().alias("ws")).where(F.size("ws") > 0)
+
+    def read(x: DataFrame) -> DataFrame:
+        return x.select("doc_id", P.phonemes_of_words(F.transform("ws", lambda w: stands_for(w, _STATED))).alias("t"))
+
+    def closed(t):
+        return F.md5(F.array_join(t, " | ")).alias("tokens_md5")
+
+    one = read(said_by.join(shared, same, "left_anti")).select("doc_id", F.size("t").cast("long").alias("words"), closed(F.col("t")))
+    several = read(said_by.join(shared, same, "left_semi")).select("doc_id", F.posexplode("t").alias("pos", "t")).groupBy("doc_id")
+    own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"])
+    return one.unionByName(several.agg(F.count("*").alias("words"), closed(own)))
 
 
 @query(f"WITH {spoken_sql(list(MODEL_WORDS))} SELECT word, tokens, times, docs FROM said JOIN (VALUES {values(list(MODEL_WORDS.items()))}) v(word, tokens) USING (word)")

@@ -56,10 +56,17 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 def spoken(spark, sf_dir, words: list[str]) -> DataFrame:
     """The words of all documents, each standing for one of the given ones, by its md5: doc_id, pos, word."""
-    own = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    x = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(own).alias("pos", "w"))
-    place = F.conv(F.substring(F.md5("w"), 1, 7), 16, 10).cast("long") % len(words)
-    return x.select("doc_id", "pos", F.get(F.array(*[F.lit(w) for w in words]), place.cast("int")).alias("word"))
+    x = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(own_words()).alias("pos", "w"))
+    return x.select("doc_id", "pos", stands_for(F.col("w"), words).alias("word"))
+
+
+def own_words():
+    return F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+
+
+def stands_for(w, words: list[str]):
+    place = F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % len(words)
+    return F.get(F.array(*[F.lit(x) for x in words]), place.cast("int"))
 
 
 def said(spark, sf_dir, words: list[str]) -> DataFrame:

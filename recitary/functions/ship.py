@@ -13,7 +13,7 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Once for each application: the package as a zip file on every executor's path."""
+    """Once for each application: the package, its data files too, as a zip file on every executor's path."""
     sc = spark.sparkContext
     if sc.applicationId in _sent:
         return spark
@@ -21,7 +21,8 @@ def ship(spark: SparkSession) -> SparkSession:
     top = Path(__file__).resolve().parents[2]
     path = os.path.join(tempfile.mkdtemp(), "recitary_package.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for f in sorted((top / "recitary").rglob("*.py")):
-            z.write(f, f.relative_to(top))
+        for f in sorted((top / "recitary").rglob("*")):
+            if f.is_file() and f.suffix != ".pyc":
+                z.write(f, f.relative_to(top))
     sc.addPyFile(path)
     return spark

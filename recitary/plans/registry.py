@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from importlib.resources import files
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +12,10 @@ from recitary.operators import sequence
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-# Words and the tokens stated for them, in a file beside this one.
+# Words and the tokens stated for them, in a file beside this one, on executors within the zip file.
 GOLDEN = [
     (word, tokens)
-    for word, _, tokens in (line.partition("\t") for line in (Path(__file__).parent / "golden_words.txt").read_text(encoding="utf-8").split("\n") if line and line[0] != "#")
+    for word, _, tokens in (line.partition("\t") for line in (files("recitary.plans") / "golden_words.txt").read_text(encoding="utf-8").split("\n") if line and line[0] != "#")
 ]
 
 

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import pickle
+import subprocess
+import sys
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from recitary.functions import phonemes as P
+from recitary.functions.ship import ship
 from recitary.operators import models, signal
 from recitary.sources import audio
 
@@ -122,6 +129,26 @@ def test_clips_of_every_length(spark, tmp_path):
     assert got == want and len(got) == 3 + 1 + 2 * 39
 
 
+def test_chain_from_the_shipped_package():
+    """As on an executor: nothing of the package but its zip file, by a relative path."""
+    from recitary.plans import registry, waveforms
+
+    sent = []
+    ship(SimpleNamespace(sparkContext=SimpleNamespace(applicationId="shipped", addPyFile=lambda f: sent.append(Path(f)))))
+    others = [p for p in sys.path if p and not (Path(p) / "recitary").exists()]
+    code = """import json, pickle, sys
+sys.path[:] = json.loads(sys.argv[1])
+import numpy
+f = pickle.loads(bytes.fromhex(sys.argv[2]))
+from recitary.plans import registry
+print(json.dumps([registry.__file__, registry.GOLDEN, f(numpy.zeros(1281), 16000).shape]))"""
+    argv = [sys.executable, "-I", "-c", code, json.dumps([f"./{sent[0].name}", *others]), pickle.dumps(waveforms._nine_frames).hex()]
+    done = subprocess.run(argv, cwd=sent[0].parent, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    where, golden, shape = json.loads(done.stdout)
+    assert sent[0].name in where and list(map(tuple, golden)) == registry.GOLDEN and shape == [9, 39]
+
+
 def test_words_are_read_once(spark):
     rows = [(0, "بَابٌ"), (1, None), (2, "نُور"), (3, "بَابٌ"), (4, "")]
     df = spark.createDataFrame(rows, "k int, word string")
